@@ -1,8 +1,68 @@
-"""Corpus preparation in stages; each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""Corpus preparation in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
+DataFrame; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm import bpe, decontamination, exact_dedup, language_id, near_dedup
+from skein.llm.storage import Workspace
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose language cannot be told: no text, or no letter in it."""
+    return language_id.keep_identified(docs, language_id.train(docs))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each normalised text."""
+    return exact_dedup.keep_first(docs, exact_dedup.DigestIndex(spark, Workspace(spark, "digests").path))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates."""
+    return near_dedup.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode, decode again, and return the ids with a digest of either."""
+    import public_tokenizers
+
+    how = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = bpe.decode(bpe.encode(docs, *how), *how)
+    return both.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("language_id", languages),
+    ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("decontamination", decontaminate),
+    ("bpe", tokenize),
+]
+#: The stages that learn, estimate or tokenize have no SQL; tests check them by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each one's result written and read again."""
+    work = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = work.put(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

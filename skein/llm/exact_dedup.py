@@ -16,7 +16,7 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.storage import Workspace
@@ -104,3 +104,16 @@ def dedup(docs: DataFrame, index: DigestIndex, batch: str = "0", id_col: str = "
         F.lower(F.hex("digest")).alias("text_sha256"),
         F.col("keep_row").isNull().alias("known"),
     )
+
+
+def keep_first(docs: DataFrame, index: DigestIndex, batch: str = "0") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    work = Workspace(index.spark, "first")
+    kept = dedup(docs, index, batch).where("kept").select("doc_id", F.col("text_sha256").alias("_skein_digest"))
+    kept = work.put(kept, "kept").withColumnRenamed("doc_id", "_skein_id")
+    rows = docs.withColumn("_skein_digest", F.sha2(normalised(F.col("text")), 256)).alias("r")
+    same = F.col("r.doc_id").cast("long").eqNullSafe(F.col("_skein_id")) & (F.col("r._skein_digest") == F.col("k._skein_digest"))
+    stay = rows.join(kept.alias("k").hint("merge"), same, "left_semi")
+    # Rows of equal id and equal normalised text can only be told apart by their text: the longest stays.
+    near = Window.partitionBy("doc_id", "_skein_digest").orderBy(F.length("text").desc(), "text")
+    return stay.withColumn("_skein_rank", F.row_number().over(near)).where("_skein_rank = 1").select(*docs.columns)
