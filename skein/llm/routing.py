@@ -91,7 +91,7 @@ def compared(texts: DataFrame, hits: DataFrame, spec: Spec, work: Workspace, res
 
     sent = texts.select("doc", "text").join(wanted.hint("merge"), "doc").select("doc", "text", "wanted")
     sent = sent.mapInArrow(run, "key long, part int, dig long, copies long, doc long, pos long, n int, mask long, content binary")
-    judged = sent.repartition("key", "part").sortWithinPartitions("doc", "pos", "key").drop("part").mapInArrow(resolve, "key long, dig long, mask long")
+    judged = sent.repartition("key", "part").sortWithinPartitions("doc", "pos", "key", "mask").drop("part").mapInArrow(resolve, "key long, dig long, mask long")
     masks = work.put(judged.groupBy("key", "dig").agg(F.bit_or("mask").alias("mask")), "masks")
     work.release()
     out = work.put(classes.join(masks.hint("merge"), ["key", "dig"]).select("key", "dig", "copies", F.struct("doc", "pos").alias("lead"), "mask"), "judged")

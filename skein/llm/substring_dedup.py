@@ -63,9 +63,10 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, seeds, last = [], [], None
     for batch in batches:
         for key, dig, copies, _, _, n, mask, content in zip(*(c.to_pylist() for c in batch.columns)):
-            if (key, dig) == last:
+            # A repeated row of the input sends its segments again.
+            if (key, dig, mask) == last:
                 continue
-            last = (key, dig)
+            last = (key, dig, mask)
             (hashes,) = run_hashes(word_tokens(content), (SPEC.width,), base=1)
             rows.append((key, dig, copies, n, mask))
             seeds.append(hashes)

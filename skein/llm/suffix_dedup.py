@@ -83,9 +83,10 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for key, dig, _, doc, pos, _, mask, content in zip(*(c.to_pylist() for c in batch.columns)):
-            if (key, dig) != last:
+            # A repeated row of the input sends its segments again.
+            if (key, dig, mask) != last:
                 held.append((key, dig, mask, content))
-            last = (key, dig)
+            last = (key, dig, mask)
             if len(held) >= BATCH:
                 yield close()
     if held:
