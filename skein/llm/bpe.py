@@ -144,12 +144,13 @@ class Codec:
         doc = np.repeat(np.arange(len(encoded)), lens)
         tokens = {"doc": doc.astype(np.int32), "pos": np.arange(len(doc)), "id": np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)}
         self.db.register("tokens", pa.table(tokens))
-        out = [b""] * len(encoded)
+        out, found = [b""] * len(encoded), 0
         for row, text, known in self.db.execute(_DECODE).fetchall():
-            if known != lens[row]:
-                raise ValueError("an id is not in the vocabulary")
             out[row] = bytes.fromhex(text)
+            found += known
         self.db.unregister("tokens")
+        if found != len(doc):
+            raise ValueError("an id is not in the vocabulary")
         return out
 
 
