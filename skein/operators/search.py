@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,9 +69,13 @@ def postings(docs: DataFrame, body: str = "body", key: str = "doc_id") -> DataFr
     return rows.select(key, "term", F.size(F.filter("words", lambda w: w == F.col("term"))).alias("tf"), "dl")
 
 
-def _scores(docs: DataFrame, query: list[str], body: str, key: str) -> DataFrame:
-    """(key, score) of the documents with a query term; more negative is better."""
-    words = docs.select(key, tokens(F.col(body)).alias("words"))
+#: How a text and a query are cut into terms.
+Analyser = tuple[Callable[[Column], Column], Callable[[str], list[str]]]
+
+
+def _scores(docs: DataFrame, query: list[str], body: str, key: str, terms: Callable[[Column], Column]) -> DataFrame:
+    """(key, score, hit) of all documents; more negative is better."""
+    words = docs.select(key, terms(F.col(body)).alias("words"))
 
     def count(term: str) -> Column:
         return F.size(F.filter("words", lambda w: w == F.lit(term))).cast("double")
@@ -96,16 +101,20 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
 
 
-def bm25(docs: DataFrame, query: str, k: int = DEFAULT_LIMIT, body: str = "body", key: str = "doc_id") -> DataFrame:
+PLAIN: Analyser = (tokens, query_terms)
+
+
+def bm25(docs: DataFrame, query: str, k: int = DEFAULT_LIMIT, body: str = "body", key: str = "doc_id", analyser: Analyser = PLAIN) -> DataFrame:
     """The k best (key, score) among the documents that hold a term of ``query``."""
-    return _scores(docs, query_terms(query), body, key).where("hit").select(key, "score").orderBy("score", key).limit(limit_or_default(k))
+    found = _scores(docs, analyser[1](query), body, key, analyser[0]).where("hit")
+    return found.select(key, "score").orderBy("score", key).limit(limit_or_default(k))
 
 
-def bm25_all(docs: DataFrame, query: str, k: int, body: str = "body", key: str = "doc_id") -> DataFrame:
+def bm25_all(docs: DataFrame, query: str, k: int, body: str = "body", key: str = "doc_id", analyser: Analyser = PLAIN) -> DataFrame:
     """The k best (key, score) among all documents; one without a term has score 0."""
     if k <= 0:
         raise ValueError("k must be positive")
-    return _scores(docs, query_terms(query), body, key).select(key, "score").orderBy("score", key).limit(k)
+    return _scores(docs, analyser[1](query), body, key, analyser[0]).select(key, "score").orderBy("score", key).limit(k)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

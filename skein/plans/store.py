@@ -21,7 +21,7 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions import identity
+from skein.functions import identity, stem
 from skein.operators import catalog, search
 from skein.plans import projection
 from skein.sources import claude, codex, framing
@@ -181,7 +181,7 @@ class Catalog:
         if mode == "literal":
             hits = search.literal(docs.select("doc_id", "body"), query, k).select("doc_id", F.lit(None).cast("double").alias("score"))
         else:
-            hits = search.bm25(docs.select("doc_id", "body"), query, k)
+            hits = search.bm25(docs.select("doc_id", "body"), query, k, analyser=(stem.stems, stem.query_stems))
         found = search.hydrate(hits, docs.select("doc_id", "session", "harness", "kind", "part", "parts", "body", "events", "removed"))
         return found.orderBy("score", "doc_id")
 

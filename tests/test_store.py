@@ -48,6 +48,7 @@ def test_catalog(spark, tmp_path):
     assert hits[0].body == "alpha alpha alpha" and len(hits) == 3 and hits[0].score < hits[1].score < 0
     assert [r.body for r in store.search("alpha", "lexical", harness="claude").collect()] == ["delta alpha"]
     assert [len(r.events) for r in store.search("beta\ngamma").collect()] == [2]
+    assert [r.body for r in store.search("deltas", "lexical").collect()] == ["delta alpha"]
     with pytest.raises(ValueError):
         store.search("x", "vector")
 
