@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import identity, stem
 from skein.operators import catalog, search
-from skein.plans import projection
+from skein.plans import projection, state
 from skein.sources import claude, codex, framing
 
 READERS: dict[str, ModuleType] = {"codex": codex, "claude": claude}
@@ -102,11 +102,29 @@ class Catalog:
 
     def _checkpoints(self, generation: int) -> DataFrame:
         if not generation:
-            return self.spark.createDataFrame([], "occurrence string, discovery string, builder string, session string, revision string, batch long")
+            return self.spark.createDataFrame([], state.TABLES["checkpoint"][1] + ", batch long")
         return self.spark.read.parquet(f"{self.root}/checkpoint/generation={generation}")
 
-    def _read(self, homes: dict[str, str], changed: DataFrame, batch: int) -> DataFrame:
-        """Normalised events of the changed containers, with occurrence, harness and revision."""
+    def _retain(self, homes: dict[str, str], changed: DataFrame, before: int, batch: int) -> DataFrame:
+        """Store the bytes of the changed containers once each; (occurrence, snapshot_hash, change_kind)."""
+        now = None
+        for harness, home in sorted(homes.items()):
+            paths = [r.path for r in changed.where(F.col("harness") == harness).select("path").collect()]
+            if paths:
+                files = framing.containers(self.spark, *paths)
+                rows = READERS[harness].discover(files, home).select("path", "occurrence").join(files.select("path", "content"), "path")
+                now = rows if now is None else now.unionByName(rows)
+        known = self.table("snapshot").drop("batch") if self._exists("tables/snapshot") else self.spark.createDataFrame([], state.TABLES["snapshot"][1])
+        kinds = state.changes(self._checkpoints(before), known, now)
+        kinds.write.mode("overwrite").parquet(f"{self.root}/tables/change/batch={batch}")
+        state.snapshots(now, known).write.mode("overwrite").parquet(f"{self.root}/tables/snapshot/batch={batch}")
+        return self.spark.read.parquet(f"{self.root}/tables/change/batch={batch}")
+
+    def _read(self, homes: dict[str, str], changed: DataFrame) -> DataFrame | None:
+        """Normalised events of the changed containers, with occurrence, harness and revision.
+
+        A container that cannot be framed has one row with its error.
+        """
         out = None
         for harness, home in sorted(homes.items()):
             reader = READERS[harness]
@@ -116,8 +134,10 @@ class Catalog:
             found = reader.discover(framing.containers(self.spark, *paths), home)
             records = framing.records(framing.containers(self.spark, *paths))
             sessions = reader.sessions(records, found) if harness == "codex" else found
-            named = records.where("record is not null").join(F.broadcast(sessions.select("path", "session", "occurrence")), "path")
-            events = reader.events(named).join(F.broadcast(named.select("session", "occurrence", "revision").distinct()), "session")
+            named = records.where("record is not null").join(sessions.select("path", "session", "occurrence"), "path")
+            events = reader.events(named).join(named.select("session", "occurrence", "revision").distinct(), "session")
+            broken = records.where("error is not null").select("path", "error").join(found.select("path", "occurrence"), "path")
+            events = events.unionByName(broken.select("occurrence", F.col("occurrence").alias("session"), "error"), allowMissingColumns=True)
             events = events.withColumn("harness", F.lit(harness))
             out = events if out is None else out.unionByName(events)
         return out
@@ -132,12 +152,13 @@ class Catalog:
         builder = ";".join(f"{k}={v}" for k, v in sorted(BUILDERS.items()))
         listed = self._listed(homes)
         known = self._checkpoints(before)
-        same = known.where(F.col("builder") == builder).select("occurrence", "discovery", "session", "revision", "batch")
+        same = known.where(F.col("builder") == builder).select("occurrence", "discovery", "session", "revision", "snapshot_hash", "batch")
         reused = listed.join(same, ["occurrence", "discovery"])
         changed = catalog.missing(listed, same, ["occurrence", "discovery"])
-        events = self._read(homes, changed, batch)
+        events = self._read(homes, changed)
         counters = {"reused": reused.count(), "read": 0, "rows": 0, "failed": 0}
-        members = reused.select("occurrence", "discovery", "session", "revision", "batch")
+        columns = ["occurrence", "discovery", "session", "revision", "snapshot_hash", "change_kind", "batch"]
+        members = reused.withColumn("change_kind", F.lit("unchanged")).select(*columns)
         if events is not None:
             events.write.mode("overwrite").parquet(f"{self.root}/tables/event/batch={batch}")
             events = self.spark.read.parquet(f"{self.root}/tables/event/batch={batch}")
@@ -147,6 +168,7 @@ class Catalog:
             events = events.join(failed, "session", "left_anti")
             fresh = events.groupBy("session").agg(F.first("occurrence").alias("occurrence"), F.first("revision").alias("revision"))
             fresh = fresh.join(listed.select("occurrence", "discovery"), "occurrence").withColumn("batch", F.lit(batch).cast("long"))
+            fresh = fresh.join(self._retain(homes, changed, before, batch), "occurrence")
             projection.relations(events).write.mode("overwrite").parquet(f"{self.root}/tables/relation/batch={batch}")
             bodies = projection.project(events).join(events.groupBy("session").agg(F.first("harness").alias("harness")), "session")
             last = self.table("document").agg(F.max("doc_id")).first()[0] if self._exists("tables/document") else 0
@@ -154,7 +176,7 @@ class Catalog:
             documents.write.mode("overwrite").parquet(f"{self.root}/tables/document/batch={batch}")
             counters["read"] = fresh.count()
             counters["rows"] = sum(self.spark.read.parquet(f"{self.root}/tables/{t}/batch={batch}").count() for t in ("event", "relation", "document"))
-            members = members.unionByName(fresh.select(*members.columns))
+            members = members.unionByName(fresh.select(*columns))
         members.withColumn("builder", F.lit(builder)).write.mode("overwrite").parquet(f"{self.root}/checkpoint/generation={batch}")
         self.spark.read.parquet(f"{self.root}/checkpoint/generation={batch}").select("session", "revision", "batch").write.mode("overwrite").parquet(
             f"{self.root}/member/generation={batch}"
@@ -201,6 +223,24 @@ class Catalog:
         row = catalog.resolution(self.eligible("relation"), targets, ["to_kind", "to_ref"], "of").first()
         return {"resolved": row.resolved, "unresolved": row.unresolved}
 
+    def changes(self) -> dict[str, int]:
+        """How many containers of the published generation changed in which way when it was made."""
+        return {r.change_kind: r["count"] for r in self._checkpoints(self.generation()).groupBy("change_kind").count().collect()}
+
+    def export(self, path: str) -> dict[str, int]:
+        """Write the retained evidence of the published generation as a state stream to a new local file."""
+        checkpoints = self._checkpoints(self.generation()).drop("batch")
+        held = self.table("snapshot").drop("batch").join(checkpoints.select(F.col("snapshot_hash").alias("content_hash")), "content_hash", "left_semi")
+        return state.export({"snapshot": held, "checkpoint": checkpoints}, path)
+
+    def import_state(self, path: str) -> None:
+        """Take the snapshots of a state stream into an empty catalog; what they derive comes with the next scan."""
+        if self.generation() or self._exists("tables/snapshot"):
+            raise RuntimeError("the catalog is not empty")
+        found = state.load(self.spark, path)
+        found["checkpoint"].write.mode("overwrite").parquet(f"{self.root}/tables/imported/batch=0")
+        found["snapshot"].write.mode("overwrite").parquet(f"{self.root}/tables/snapshot/batch=0")
+
     def behind(self, homes: dict[str, str]) -> dict[str, int]:
         """How many containers came, went or changed since the published generation."""
         return catalog.behind(self._listed(homes), self._checkpoints(self.generation()), "occurrence", "discovery").first().asDict()

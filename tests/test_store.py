@@ -56,8 +56,16 @@ def test_catalog(spark, tmp_path):
     assert store.behind(homes) == {"added": 0, "removed": 0, "changed": 0}
     write(codex, 2, [turn("user", "omega"), turn("user", "\0nul")])
     write(codex, 3, [turn("user", "new"), {"type": "response_item"}])
-    assert store.behind(homes) == {"added": 1, "removed": 0, "changed": 1}
-    assert store.scan(homes)["failed"] == 1
+    write(codex, 4, []).write_text('{"type": "session_meta", "payload": {"id": "x"}}\n{broken\n')
+    assert store.behind(homes) == {"added": 2, "removed": 0, "changed": 1}
+    assert store.scan(homes)["failed"] == 2
+    assert store.changes() == {"rewritten": 1, "unchanged": 2}
+    assert store.export(str(tmp_path / "state")) == {"snapshot": 3, "checkpoint": 3}
+    other = Catalog(spark, f"file://{tmp_path}/other")
+    other.import_state(str(tmp_path / "state"))
+    assert other.table("snapshot").count() == 3
+    with pytest.raises(RuntimeError):
+        store.import_state(str(tmp_path / "state"))
     assert store.search("alpha alpha").count() == 0 and store.search("omega").count() == 1
     assert [r.removed for r in store.search("nul").collect()] == [1]
     assert store.eligible("document", 1).count() == 7
