@@ -186,6 +186,31 @@ class Catalog:
         fs.delete(where, True)
         return counters
 
+    def reclaim(self) -> list[int]:
+        """Remove the memberships of superseded generations and the batches that no generation names; returns the former.
+
+        The published generation is never touched, so no search that starts later can miss a row. It
+        must not run beside a scan, whose batch is not named yet.
+        """
+        active = self.generation()
+        if not active:
+            return []
+        named = {r.batch for r in self.members(active).select("batch").distinct().collect()}
+        fs, where = self._fs("member")
+        old = sorted(g for g in (int(x.getPath().getName().partition("=")[2]) for x in fs.listStatus(where)) if g != active)
+        for generation in old:
+            for name in ("member", "checkpoint"):
+                fs, where = self._fs(f"{name}/generation={generation}")
+                fs.delete(where, True)
+        for table in ("event", "relation", "document", "change"):
+            if self._exists(f"tables/{table}"):
+                fs, where = self._fs(f"tables/{table}")
+                for x in fs.listStatus(where):
+                    batch = x.getPath().getName()
+                    if batch.startswith("batch=") and int(batch.partition("=")[2]) not in named:
+                        fs.delete(x.getPath(), True)
+        return old
+
     # --- queries ----------------------------------------------------------------------------------
 
     def eligible(self, table: str, generation: int | None = None) -> DataFrame:

@@ -71,3 +71,7 @@ def test_catalog(spark, tmp_path):
     assert store.eligible("document", 1).count() == 7
     ids = [r.doc_id for r in store.table("document").collect()]
     assert sorted(ids) == list(range(1, len(ids) + 1))
+    before = sorted(r.body for r in store.eligible("document").collect())
+    assert store.reclaim() == [1, 2] and store.reclaim() == []
+    assert sorted(r.body for r in store.eligible("document").collect()) == before
+    assert store.scan(homes)["reused"] == 3
