@@ -10,26 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, decontamination, exact_dedup, language_id, near_dedup
-from skein.llm.storage import Workspace
+from skein.llm.storage import Workspace, small_batches
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language cannot be told: no text, or no letter in it."""
+    small_batches(spark)
     return language_id.keep_identified(docs, language_id.train(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each normalised text."""
+    small_batches(spark)
     return exact_dedup.keep_first(docs, exact_dedup.DigestIndex(spark, Workspace(spark, "digests").path))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates."""
+    small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
+    small_batches(spark)
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -37,6 +41,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode, decode again, and return the ids with a digest of either."""
     import public_tokenizers
 
+    small_batches(spark)
     how = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     both = bpe.decode(bpe.encode(docs, *how), *how)
     return both.select(

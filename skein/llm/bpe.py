@@ -33,12 +33,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.storage import tidy
+
 #: Bytes of a piece beyond which it is contracted in a heap.
 LONG = 256
 #: Pieces encoded in one recursive query, and tokens decoded in one query.
-PIECES, TOKENS = 20_000, 500_000
+PIECES, TOKENS = 5_000, 200_000
 #: Distinct pieces that a task remembers.
-CACHE = 600_000
+CACHE = 300_000
 
 _ENCODE = """
 WITH RECURSIVE step AS (
@@ -68,7 +70,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern, self.known = ranks, regex.compile(pattern), {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         pairs = [(ranks[x[:k]], ranks[x[k:]], r) for x, r in ranks.items() for k in range(1, len(x)) if x[:k] in ranks and x[k:] in ranks]
         columns = np.array(pairs, np.int32).reshape(-1, 3)
         self._table("merges", {"left_tok": columns[:, 0], "right_tok": columns[:, 1], "id": columns[:, 2]})
@@ -188,7 +190,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(tidy(run), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -202,4 +204,4 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 made = pa.array(codec.decode(part.column(1).to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), made], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, ids binary, decoded binary")

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.storage import tidy
+
 #: Okapi parameters.
 K1, B = 1.2, 0.75
 #: Least share of an item's own score at which it is retrieved.
@@ -205,7 +207,7 @@ def indexes(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]
             arrays = [batch.column(0), pa.array(found, pa.list_(pa.string())), pa.array(list(map(len, made)), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["item_id", "terms", "size"])
 
-    listed = rows.mapInArrow(run, "item_id long, terms array<string>, size long")
+    listed = rows.mapInArrow(tidy(run), "item_id long, terms array<string>, size long")
     mean = listed.agg(F.avg("size")).first()[0]
     blocks = -(-size // block_bytes)
     block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
@@ -233,7 +235,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
                 names, kinds = [x.split()[0] for x in _FOUND.split(", ")], [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], kind) for k, kind in enumerate(kinds)], names)
 
-        out = out.union(cols.mapInArrow(run, _FOUND))
+        out = out.union(cols.mapInArrow(tidy(run), _FOUND))
     return out
 
 
@@ -246,5 +248,5 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array([not index.hits(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

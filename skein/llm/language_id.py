@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.storage import tidy
+
 #: Labelled texts of each language that are learned from (about; chosen by hash).
 PER_LANGUAGE = 300
 #: Most languages that are learned.
@@ -143,7 +145,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             made = [features(t).astype(np.float16).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.binary())], ["lang", "x"])
 
-    found = rows.where(keep).select("text", "lang").mapInArrow(run, "lang string, x binary").collect()
+    found = rows.where(keep).select("text", "lang").mapInArrow(tidy(run), "lang string, x binary").collect()
     found.sort(key=lambda r: (r.lang, bytes(r.x)))
     x = np.stack([np.frombuffer(r.x, np.float16) for r in found]).astype(np.float32) if found else np.zeros((0, BUCKETS * len(ORDERS)))
     return fit(x, [r.lang for r in found])
@@ -159,7 +161,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return cols.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -171,4 +173,4 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
             found = model.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN for lang, _, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.components import components
 from skein.llm.simhash import BKTree
-from skein.llm.storage import Workspace
+from skein.llm.storage import Workspace, tidy
 from skein.llm.windows import mix
 
 WORDS, SIMILARITY = 5, 0.8
@@ -102,7 +102,7 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "wide", "n", "keys"])
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    marked = work.put(cols.mapInArrow(sketches, "doc_id long, wide binary, n long, keys array<long>"), "sketches")
+    marked = work.put(cols.mapInArrow(tidy(sketches), "doc_id long, wide binary, n long, keys array<long>"), "sketches")
     # Equal sketches are one node: a group of copies counts once however large it is.
     nodes = work.put(marked.groupBy("wide", "n").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "nodes")
     rows = nodes.select(F.col("node"), "wide", "n", F.posexplode("keys").alias("table", "key")).withColumn("shard", F.xxhash64("table", "key"))
@@ -136,7 +136,7 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
                 members.append(row[3:])
         yield close()
 
-    found = components(work.put(dealt.mapInArrow(link, "u long, v long"), "links"), work)
+    found = components(work.put(dealt.mapInArrow(tidy(link), "u long, v long"), "links"), work)
     named = nodes.join(found.withColumnRenamed("u", "node").hint("merge"), "node", "left")
     named = work.put(named.select("wide", "n", F.coalesce("root", "node").alias("group")), "named")
     return marked.select("doc_id", "wide", "n").join(named.hint("merge"), ["wide", "n"]).select("doc_id", "group")

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, decontamination, exact_dedup, language_id, license_scan, sharding, simhash, substring_dedup, suffix_dedup, url_filter
-from skein.llm.storage import Workspace
+from skein.llm.storage import Workspace, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

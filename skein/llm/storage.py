@@ -7,10 +7,13 @@ local test) gets a folder of its own.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
@@ -53,3 +56,34 @@ class Workspace:
         """
         gc.collect()
         self.spark._jvm.System.gc()
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch of whole texts.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small for this session: each is held several times, on both sides, by every task."""
+    spark.conf.set(_BATCH, BATCH_BYTES)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` that gives free memory back when its partition is done.
+
+    Python workers are reused by later stages; what the allocators keep would count against the
+    executor's memory for as long.
+    """
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
