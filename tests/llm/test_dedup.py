@@ -119,6 +119,39 @@ def test_near_groups(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(found.values()))
 
 
+def brute_groups(rows):
+    """Components of the pairs whose sets of distinct five-word shingles have a Jaccard similarity of 0.8 or more."""
+
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    sets, group = {d: shingles(t) for d, t in rows}, {d: d for d, _ in rows}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, x in sets.items():
+        for b, y in sets.items():
+            shared = len(x & y)
+            if a < b and (x == y or shared and 5 * shared >= 4 * len(x | y)) and root(a) != root(b):
+                group[max(root(a), root(b))] = min(root(a), root(b))
+    return {d: root(d) for d in group}
+
+
+def test_near_groups_ignore_repeats_within_a_document(spark):
+    draw = random.Random(10)
+    word = lambda: f"w{draw.randrange(10**9)}"
+    block = " ".join(word() for _ in range(45))
+    rows = [(k, " ".join([*(word() for _ in range(104)), *[block] * 10])) for k in range(40)]
+    body = " ".join(word() for _ in range(104))
+    rows += [(40, rows[0][1] + f" {block}"), (41, f"{body} {block}"), (42, " ".join([body] + [block] * 10))]
+    found = {r.doc_id: r.group for r in near_dedup.groups(docs(spark, rows)).collect()}
+    assert found == brute_groups(rows) == {d: {40: 0, 42: 41}.get(d, d) for d, _ in rows}
+
+
 def test_passages(spark):
     rows = ROWS + [(80, ROWS[30][1]), (80, ROWS[30][1]), (81, "a\x00b " * 80)]
     found = sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in substring_dedup.remove_passages(docs(spark, rows)).collect()), key=str)
