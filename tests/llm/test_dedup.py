@@ -141,6 +141,21 @@ def brute_groups(rows):
     return {d: root(d) for d in group}
 
 
+@pytest.mark.parametrize("tree", [4, 4096])
+def test_near_groups_are_those_of_the_true_similarity(spark, monkeypatch, tree):
+    monkeypatch.setattr(near_dedup, "TREE", tree)
+    draw, rows = random.Random(9), []
+    word = lambda: f"w{draw.randrange(10**9)}"
+    # Words appended to texts of n shingles: similarities just above, at and just below 0.8.
+    for n, more in [(4, 1), (5, 1), (6, 1), (20, 5), (100, 20), (100, 25), (100, 26), (100, 29), (400, 100), (400, 101), (1000, 220), (1000, 260)]:
+        for _ in range(8):
+            text = [word() for _ in range(n + 4)]
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(text + [word() for _ in range(more)]))]
+    rows += [(len(rows), None), (len(rows) + 1, " ")]
+    found = {r.doc_id: r.group for r in near_dedup.groups(docs(spark, rows)).collect()}
+    assert found == brute_groups(rows)
+
+
 def test_near_groups_ignore_repeats_within_a_document(spark):
     draw = random.Random(10)
     word = lambda: f"w{draw.randrange(10**9)}"
