@@ -143,6 +143,24 @@ def test_licences(spark):
     assert not any(at[0] in (20_000, 20_001) for at in found)
 
 
+def test_licences_in_running_text(spark):
+    frame = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    draw = random.Random(6)
+    filler = lambda n: " ".join(draw.choice(["river", "stone", "walked", "green", "seven", "often", "cloud", "paper"]) for _ in range(n))
+    known = [(family, line) for family, line in license_scan.TEMPLATES if family != license_scan.UNKNOWN]
+    rows, want = [], {}
+    for k, (family, line) in enumerate(known):
+        words = line.split(" ")
+        rows += [(10_000 + k, f"{filler(200)} {line} {filler(200)}"), (11_000 + k, f"{filler(9)}\n\n{chr(10).join([' '.join(words[:4]), ' '.join(words[4:])])}\n{filler(60)}")]
+        want |= {10_000 + k: (family, (0,)), 11_000 + k: (family, (2, 3))}
+    rows += [(12_000, f"{filler(50)} you need a license to drive and the permission of the owner {filler(50)}"), (12_001, f"{filler(300)}\n{filler(300)}")]
+    extra = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r.doc_id, r.family, r.paragraph) for r in license_scan.scan(frame.union(extra)).collect() if r.doc_id >= 10_000]
+    assert {d: f for d, f, _ in found} == {d: f for d, (f, _) in want.items()} and len(found) == len(want)
+    # A wrapped notice is claimed once, in the line where its best window begins.
+    assert all(at in want[d][1] for d, _, at in found)
+
+
 def test_urls(spark):
     rows = [
         (1, "http://A.Example.ORG/es/x?y#z"), (2, "https://example.org/en/12"), (3, "https://example.org/de/1"), (4, "http://x.com/fr/1"), (5, "http://x.com/de/"),
