@@ -160,8 +160,9 @@ def _islands_sql(where: str, last: str) -> str:
     )
 
 
-def _islands(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where(where)
+def _islands(spark: SparkSession, sf_dir: str, spoken: str = "true") -> DataFrame:
+    """The islands of all turns; those that are not ``spoken`` have an empty text."""
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.when(F.expr(spoken), F.col("text")).otherwise(""))
     return passages.islands(turns, "conv_id", ["turn"], text.passage_kind(F.lit("message"), F.col("role")))
 
 

@@ -129,3 +129,13 @@ def test_activity_needs_a_time_only_if_bounded(spark):
     rows = spark.createDataFrame([(1, 5), (2, None), (3, 9)], "k int, t int")
     assert sessions.activity_between(rows, None, None, F.col("t")).count() == 3
     assert [r.k for r in sessions.activity_between(rows, F.lit(5), F.lit(8), F.col("t")).collect()] == [1]
+
+
+@pytest.mark.parametrize("name", ["passages_skip_empty", "passage_body"])
+def test_empty_segments_are_skipped_by_the_operator(spark, monkeypatch, name):
+    seen, islands = [], passages.islands
+    monkeypatch.setattr(passages, "islands", lambda segments, *rest: seen.append(segments) or islands(segments, *rest))
+    registry.QUERIES[name](spark, SF)
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    assert seen[0].count() == turns.count()
+    assert seen[0].where("text = ''").count() >= turns.where("turn % 3 = 1").count() > 0
