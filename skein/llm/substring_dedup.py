@@ -1,11 +1,10 @@
-"""Removal of repeated word passages by relative Lempel-Ziv parsing.
+"""Removal of repeated word passages by counted window hashes.
 
 A passage of 35 words that occurs anywhere else goes, at all its places. Documents are cut into
 segments (``windows``), routed to the reference blocks that can match them (``routing``); a block is
-indexed by the seeds of its windows, and every segment is greedily factored against every block of
-its task: a factor runs as long as the block's text goes on matching, whatever the source. As a
-factor may end where another source would go on, the windows across its end are looked up anew (the
-check at factor boundaries). Factors of at least a window become duplicate spans.
+indexed by the seeds of its windows, and the hashes of all windows are counted over all blocks of a
+task. Relative Lempel-Ziv factors are read off the windows that match and become duplicate spans; no
+document is parsed against a block's text, and nothing is looked up anew at the end of a factor.
 
 Defined results
     null text       no words
