@@ -3,19 +3,23 @@
 The index is a table bucketed and sorted by digest, one row for each distinct normalised text ever
 accepted. A batch is aggregated to one row a digest before anything is shuffled by digest, the new
 digests are found by a sort-merge anti-join that does not move the index, and they are appended to
-the same buckets. The text itself is read once and never shuffled.
+the same buckets. ``dedup`` reads the texts once and never shuffles them; ``keep_first``, which returns
+whole rows, moves each once.
 
 Defined results
     null text          counts as empty; empty texts form one group
     null doc_id        sorts after every other id
     repeated rows      exactly one of the identical rows stays
     ties               most code points in the original text, then smallest doc_id
+    very long texts    digested whole
     empty batch        empty result, index unchanged
     extra columns      ignored
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +61,7 @@ class DigestIndex:
         fresh.select("digest", "keep_id", "batch").repartition(self.buckets, "digest").write.insertInto(self.table)
 
 
-def dedup(docs: DataFrame, index: DigestIndex, batch: str = "0", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, index: DigestIndex, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deduplicate ``docs`` within itself and against ``index``; append what is new.
 
     Returns one row per input row: doc_id, keep_id, group_size (rows of this batch with the same
@@ -106,14 +110,19 @@ def dedup(docs: DataFrame, index: DigestIndex, batch: str = "0", id_col: str = "
     )
 
 
-def keep_first(docs: DataFrame, index: DigestIndex, batch: str = "0") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+def keep_first(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Each whole text moves once, to meet the (id, digest) pairs of the rows to drop. Only where rows share
+    both are they told apart by their texts: the longest stays, of equal lengths the first in order.
+    """
     work = Workspace(index.spark, "first")
-    kept = dedup(docs, index, batch).where("kept").select("doc_id", F.col("text_sha256").alias("_skein_digest"))
-    kept = work.put(kept, "kept").withColumnRenamed("doc_id", "_skein_id")
-    rows = docs.withColumn("_skein_digest", F.sha2(normalised(F.col("text")), 256)).alias("r")
-    same = F.col("r.doc_id").cast("long").eqNullSafe(F.col("_skein_id")) & (F.col("r._skein_digest") == F.col("k._skein_digest"))
-    stay = rows.join(kept.alias("k").hint("merge"), same, "left_semi")
-    # Rows of equal id and equal normalised text can only be told apart by their text: the longest stays.
+    pairs = dedup(docs, index, batch).groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("stays"), F.count("*").alias("rows"))
+    pairs = work.put(pairs.where("not stays or rows > 1").select(F.col("doc_id").alias("_skein_id"), F.col("text_sha256").alias("_skein_sum"), "stays"), "pairs")
+    rows = docs.withColumn("_skein_digest", F.sha2(normalised(F.col("text")), 256))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_skein_id")) & (F.col("_skein_digest") == F.col("_skein_sum"))
+    if pairs.where("stays").isEmpty():
+        return rows.join(pairs.hint("shuffle_hash"), same, "left_anti").select(*docs.columns)
     near = Window.partitionBy("doc_id", "_skein_digest").orderBy(F.length("text").desc(), "text")
-    return stay.withColumn("_skein_rank", F.row_number().over(near)).where("_skein_rank = 1").select(*docs.columns)
+    left = rows.join(pairs.hint("merge"), same, "left").where("coalesce(stays, true)")
+    return left.withColumn("_skein_rank", F.row_number().over(near)).where("_skein_rank = 1").select(*docs.columns)

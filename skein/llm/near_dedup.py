@@ -231,4 +231,4 @@ def keep_one(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) ->
     """``docs`` with one document of each group, that of least doc_id; rows without an id stay. All columns."""
     work = Workspace(docs.sparkSession, "kept")
     gone = work.put(groups(docs, words, least).where("doc_id <> group").select("doc_id").distinct(), "gone")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)

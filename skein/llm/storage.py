@@ -58,14 +58,20 @@ class Workspace:
         self.spark._jvm.System.gc()
 
 
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Bytes of an Arrow batch of whole texts.
-BATCH_BYTES = 8 << 20
+#: Settings of a session that reads whole texts: bytes of an Arrow batch, rows of a column batch, and column
+#: batches outside the heap. A batch is held several times by every task, on both sides, and a long text
+#: makes its column's buffer as large for all of the file.
+BATCHES = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+    "spark.sql.columnVector.offheap.enabled": "true",
+}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small for this session: each is held several times, on both sides, by every task."""
-    spark.conf.set(_BATCH, BATCH_BYTES)
+    """Keep the batches of whole texts small from now on, in all of this session."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
 
 
 Batches = Iterator[pa.RecordBatch]

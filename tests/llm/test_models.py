@@ -64,20 +64,32 @@ def test_bpe_matches_the_library(spark):
         assert bytes(rows[k].decoded) == (t or "").encode()
     assert bpe.encode(frame.limit(0), path, tokenizers.PATTERN).count() == 0
     with pytest.raises(ValueError):
-        bpe.Codec(ranks, tokenizers.PATTERN).decode([np.array([60_000], "<u4").tobytes()])
+        bpe.Decoder(ranks).decode([np.array([60_000], "<u4").tobytes()])
 
 
 def test_long_pieces_follow_the_same_rule():
     tokenizers = pytest.importorskip("public_tokenizers")
     with open(tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
-        codec = bpe.Codec(bpe.read_ranks(file.read()), tokenizers.PATTERN)
+        codec = bpe.Encoder(bpe.read_ranks(file.read()), tokenizers.PATTERN)
     draw = random.Random(4)
-    for _ in range(50):
-        piece = "".join(draw.choice("abcdt") for _ in range(draw.randint(2, 200)))
-        codec.known.clear()
-        codec._learn([piece])
+    pieces = ["".join(draw.choice("abcdt") for _ in range(draw.choice((2, 9, 200, 700)))) for _ in range(50)] + ["a" * 1000]
+    made = codec._encode(list(set(pieces)))
+    for piece in pieces:
         whole = codec.ranks.get(piece.encode())
-        assert np.frombuffer(codec.known[piece], "<u4").tolist() == ([whole] if whole is not None else codec._contract(piece.encode()))
+        assert np.frombuffer(made[piece], "<u4").tolist() == ([whole] if whole is not None else codec._contract(piece.encode()))
+
+
+def test_words_never_part_a_piece():
+    tokenizers = pytest.importorskip("public_tokenizers")
+    with open(tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        codec = bpe.Encoder(bpe.read_ranks(file.read()), tokenizers.PATTERN)
+    assert codec.spaced and not bpe.Encoder(codec.ranks, r"\p{L}+|\P{L}").spaced
+    draw = random.Random(6)
+    for _ in range(4000):
+        text = "".join(draw.choice("ab1.\u00a0\u3000\x1c '\n   \ts\u00e9") for _ in range(draw.randint(0, 12)))
+        words = codec.words(text)
+        assert "".join(words) == text
+        assert [p for w in words for p in codec.pattern.findall(w)] == codec.pattern.findall(text)
 
 
 def index_of(items):
