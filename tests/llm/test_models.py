@@ -1,6 +1,7 @@
 """Language identification, tokenization, decontamination, licences, URLs, and the pipeline."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -107,14 +108,79 @@ def test_wand_finds_what_scoring_everything_finds(monkeypatch):
     draw = random.Random(8)
     words = [f"w{k}" for k in range(12)]
     items = [(k, " ".join(draw.choice(words) for _ in range(draw.randint(1, 15)))) for k in range(80)]
-    index = index_of(items)
-    for _ in range(60):
-        query = set(decontamination.terms([draw.choice(words) for _ in range(40)])) | {(w,) for w in words[:3]}
-        for threshold in (0.2, 0.5, 0.9):
-            score = [sum(p.impacts[p.items.index(k)] for t, p in index.postings.items() if t in query and k in p.items) for k in range(len(items))]
-            got = index.retrieve(query, threshold)
-            assert sorted(k for k, _ in got) == [k for k, s in enumerate(score) if s >= threshold - 1e-9]
-            assert all(abs(s - score[k]) < 1e-9 for k, s in got)
+    for shelf in index_of(items).shelves:
+        rows = [{shelf.items[k]: shelf.impacts[k] for k in range(shelf.start[t], shelf.start[t + 1])} for t in range(len(shelf.codes))]
+        for _ in range(40):
+            query = sorted(draw.sample(range(len(rows)), draw.randint(1, len(rows))))
+            for threshold in (0.2, 0.5, 0.9):
+                score = {k: sum(rows[t].get(k, 0.0) for t in query) for k in range(len(items))}
+                got = shelf.retrieve(query, threshold)
+                assert sorted(k for k, _ in got) == [k for k, s in score.items() if s >= threshold - 1e-9]
+                assert all(abs(s - score[k]) < 1e-9 for k, s in got)
+
+
+def leaks(rows, items):
+    """What ``find`` is to return, from its definition: each item against each passage and each window of it."""
+    cut = [decontamination.terms(decontamination.words(t)) for _, t in items]
+    mean, out = sum(map(len, cut)) / len(cut), []
+    weight = lambda t: math.log(1 + (len(cut) - sum(t in c for c in cut) + 0.5) / (sum(t in c for c in cut) + 0.5))
+    scored = [{t: weight(t) * c.count(t) * 2.2 / (c.count(t) + 1.2 * (0.25 + 0.75 * len(c) / mean)) for t in set(c)} for c in cut]
+    for doc, text in rows:
+        tokens = decontamination.words(text or "")
+        for (item, item_text), impact in zip(items, scored):
+            size = len(decontamination.words(item_text))
+            asked, answered = (decontamination.words(x) for x in decontamination.parts(item_text))
+            question, answer = set(zip(asked, asked[1:])) or set(impact), set(answered)
+            step, best = 1 << (size - 1).bit_length(), None
+            for first in range(0, max(1, len(tokens) - 2 * step), step):
+                passage = tokens[first : first + 3 * step]
+                held = [*zip(passage, passage[1:])] if size > 1 else [(w,) for w in passage]
+                score = sum(x for t, x in impact.items() if t in held) / sum(impact.values())
+                if score < decontamination.THRESHOLD - 1e-9 or (best and score <= best[3] + 1e-12):
+                    continue
+                good, span = None, math.ceil(decontamination.SPAN * size)
+                for end in range(len(passage)):
+                    low = max(0, end - span + 1)
+                    q = len(question.intersection(held[low : end + 1])) / len(question)
+                    a = len(answer.intersection(passage[low : end + 1])) / len(answer) if answer else 1.0
+                    if q >= decontamination.QUESTION and a >= decontamination.ANSWER and (good is None or q + a > sum(good)):
+                        good = (q, a)
+                if good:
+                    best = (doc, item, first, score, *good)
+            if best:
+                out.append(best)
+    return sorted((d, i, p, *(round(x, 9) for x in rest)) for d, i, p, *rest in out)
+
+
+def found_leaks(frame, items):
+    return sorted((r.doc_id, r.item_id, r.passage, *(round(x, 9) for x in (r.score, r.question_overlap, r.answer_overlap))) for r in decontamination.find(frame, items).collect())
+
+
+def awkward_leaks():
+    draw = random.Random(11)
+    say = lambda n, kinds=60: " ".join(f"v{draw.randrange(kinds)}" for _ in range(n))
+    items = [(k, f"{say(draw.randint(3, 20))}? {say(draw.randint(1, 4))}") for k in range(12)] + [(50, "v1 v2"), (51, "rareword"), (52, say(300, 900)), (53, "two. v3 v4 v5")]
+    rows = []
+    for k in range(40):
+        words = items[draw.randrange(len(items))][1].split()
+        for _ in range(draw.randint(0, len(words) // 3)):
+            words[draw.randrange(len(words))] = draw.choice(["x", "y", "v1"])
+        rows.append((k, f"{say(draw.randint(0, 150))} {' '.join(words)} {say(draw.randint(0, 150))}"))
+    # The pairs of an item, far apart: no window holds enough of them.
+    apart = items[0][1].replace("?", "").split()
+    rows.append((90, f" {say(60)} ".join(" ".join(apart[k : k + 2]) for k in range(len(apart) - 1))))
+    return rows, items
+
+
+def test_decontamination_against_brute_force(spark):
+    rows, items = awkward_leaks()
+    frame, listed = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = leaks(rows, items)
+    assert found_leaks(frame, listed) == want and len(want) > 30 and not any(d == 90 and i == 0 for d, i, *_ in want)
+    # An unrelated long item changes nothing of where the others are found.
+    more = [*items, (99, " ".join(f"z{k}" for k in range(3000)))]
+    again = found_leaks(frame, spark.createDataFrame(more, "item_id long, text string"))
+    assert again == leaks(rows, more) and {x[:3] for x in again} >= {x[:3] for x in want if x[3] > 0.55} and not any(x[:2] == (90, 0) for x in again)
 
 
 def test_decontamination(spark):
@@ -133,11 +199,14 @@ def test_decontamination(spark):
     assert decontamination.find(frame.limit(0), items).count() == 0
 
 
-def test_decontamination_in_blocks(spark):
-    items, frame = spark.read.parquet(f"{DATA}/benchmark.parquet"), spark.read.parquet(f"{DATA}/documents.parquet")
-    whole = {(r.doc_id, r.item_id, round(r.score, 9)) for r in decontamination.find(frame, items).collect()}
-    parts = [x for index in decontamination.indexes(items, 2000) for d, t in ((r.doc_id, r.text) for r in frame.collect()) for x in [(d, h[0], round(h[1], 9)) for h in index.hits(t)]]
-    assert whole and set(parts) == whole
+def test_decontamination_in_blocks(spark, monkeypatch):
+    rows, items = awkward_leaks()
+    frame, listed = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole, kept = found_leaks(frame, listed), {r.doc_id for r in decontamination.clean(frame, listed).collect()}
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 900)
+    assert next(decontamination.indexes(listed))[0] > 2
+    assert found_leaks(frame, listed) == whole
+    assert {r.doc_id for r in decontamination.clean(frame, listed).collect()} == kept == {d for d, _ in rows} - {x[0] for x in whole}
 
 
 def test_licences(spark):
