@@ -1,10 +1,16 @@
 """Where repeated windows may be, and what is left to compare.
 
-``repeats`` finds the segments whose minimizer occurs more than once. Most are settled by counting:
-if all segments of a key have equal tokens, they are copies. What remains are classes of equal
-segments whose key also occurs in other surroundings; one member of each class is sent, with its
-tokens, to the task that holds the key, where the operator's own index decides window by window. A
-key with very many classes is cut by window hash into parts, so no task holds an unbounded group.
+``repeats`` finds the segments whose minimizer occurs more than once. Equal segments are one class, told
+by two 64-bit hashes; copies are thus counted before any text moves. ``compared`` sends one member of
+each class whose minimizer also stands in other surroundings, with its tokens, to the task that holds the
+key, where the operator's own index decides window by window. Rows come key by key, so a task holds
+one key's index at a time.
+
+A key with more than ``classes`` classes is dealt in parts. Each part is decided on its own and yields
+its distinct windows; these meet by their content, one row for each part, however many classes share
+a window. So neither a frequent key nor a frequent passage brings an unbounded group into one task.
+
+A row is known by its id and a 64-bit hash of its text.
 """
 
 from __future__ import annotations
@@ -16,41 +22,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.storage import Workspace
-from skein.llm.windows import Spec, covered, run_hashes, scan
+from skein.llm.storage import Workspace, tidy
+from skein.llm.windows import Spec, covered, scan
 
 #: A null doc_id stands after every other.
 NO_ID = (1 << 63) - 1
-#: Most classes of one key that are compared in one place.
-CLASSES = 5000
 
+#: Gets batches of (key, part, parts, dig, copies, doc, mark, start, n, content), sorted by key, part and place.
 Resolve = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+#: What it returns: the windows to remove of a class (``mask``), or a distinct window of a part of a key.
+JUDGED = "key long, dig long, mask long, doc long, mark long, start int, offset int, content binary"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+
+def judged_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in JUDGED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)], names)
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def plain(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, text): what the substring operators read of ``docs``."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
+    """(doc, mark, doc_id, text): what the substring operators read of ``docs``."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("mark"), doc_id.alias("doc_id"), text.alias("text"))
 
 
 def _segments(texts: DataFrame, spec: Spec) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((d, t.as_buffer().to_pybytes()) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1)))
+        rows = ((d, m, t.as_buffer().to_pybytes()) for b in batches for d, m, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)))
         for found in scan(rows, spec):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "dig", "doc", "pos", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "dig", "doc", "mark", "start", "n"])
 
-    return texts.select("doc", "text").mapInArrow(run, "key long, dig long, doc long, pos long, n int")
+    return texts.select("doc", "mark", "text").mapInArrow(tidy(run), "key long, dig long, doc long, mark long, start int, n int")
 
 
-def repeats(texts: DataFrame, spec: Spec, work: Workspace, earliest: bool) -> DataFrame:
-    """Segments of repeated keys: key, dig, doc, pos, n, same; and ``first`` (doc, pos) of the key if ``earliest``."""
+def repeats(texts: DataFrame, spec: Spec, work: Workspace) -> DataFrame:
+    """Segments of repeated keys: key, dig, doc, mark, start, n."""
     found = _segments(texts, spec)
-    kept = [F.count("*").alias("rows"), (F.min("dig") == F.max("dig")).alias("same")]
-    kept += [F.min(F.struct("doc", "pos")).alias("first")] if earliest else []
-    keys = work.put(found.groupBy("key").agg(*kept).where(F.col("rows") > 1).drop("rows"), "keys")
+    keys = work.put(found.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "keys")
     work.release()
     hits = work.put(found.join(keys.hint("merge"), "key"), "hits")
     work.drop("keys")
@@ -58,88 +71,81 @@ def repeats(texts: DataFrame, spec: Spec, work: Workspace, earliest: bool) -> Da
     return hits
 
 
-def compared(texts: DataFrame, hits: DataFrame, spec: Spec, work: Workspace, resolve: Resolve) -> DataFrame:
-    """Classes of segments that stand in several surroundings: key, dig, copies, first, mask.
-
-    ``resolve`` gets batches sorted by place, each row (key, dig, copies, doc, pos, n, mask, content)
-    with mask the windows to judge, and returns (key, dig, mask) with the windows to remove.
-    """
-    classes = (
-        hits.where(~F.col("same"))
-        .groupBy("key", "dig")
-        .agg(F.count("*").alias("copies"), F.min(F.struct("doc", "pos", "n")).alias("at"))
-    )
-    classes = work.put(classes.select("key", "dig", "copies", "at.doc", "at.pos", "at.n"), "classes")
-    hot = classes.groupBy("key").count().select("key", F.ceil(F.col("count") / CLASSES).cast("int").alias("parts")).where("parts > 1")
+def compared(texts: DataFrame, hits: DataFrame, spec: Spec, work: Workspace, resolve: Resolve, classes: int, earliest: bool) -> DataFrame:
+    """All classes: key, dig, copies, lead (place of the first member), mask (the windows of the lead to remove)."""
+    place = F.struct("doc", "mark", "start")
+    known = hits.groupBy("key", "dig").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "mark", "start", "n")).alias("at"))
+    known = work.put(known.select("key", "dig", "copies", "at.*"), "classes")
+    sizes = known.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / classes).cast("int").alias("parts"))
+    sizes = work.put(sizes, "sizes")
     wanted = (
-        classes.join(work.put(hot, "hot").hint("merge"), "key", "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .groupBy("doc")
-        .agg(F.collect_list(F.struct("pos", "n", "key", "dig", "copies", "parts")).alias("wanted"))
+        known.join(sizes.hint("merge"), "key")
+        .groupBy("doc", "mark")
+        .agg(F.collect_list(F.struct("start", "n", "key", "dig", "copies", "parts")).alias("wanted"))
     )
-    names = ["key", "part", "dig", "copies", "doc", "pos", "n", "mask", "content"]
+    names = ["key", "part", "parts", "dig", "copies", "doc", "mark", "start", "n", "content"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: list[list] = [[] for _ in names]
-            for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                for row in _contents(doc, text.as_buffer().to_pybytes(), asked, spec):
-                    for column, value in zip(made, row):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(made, kinds)], names)
-
-    sent = texts.select("doc", "text").join(wanted.hint("merge"), "doc").select("doc", "text", "wanted")
-    sent = sent.mapInArrow(run, "key long, part int, dig long, copies long, doc long, pos long, n int, mask long, content binary")
-    judged = sent.repartition("key", "part").sortWithinPartitions("doc", "pos", "key", "mask").drop("part").mapInArrow(resolve, "key long, dig long, mask long")
-    masks = work.put(judged.groupBy("key", "dig").agg(F.bit_or("mask").alias("mask")), "masks")
+            made: list[tuple] = []
+            for doc, mark, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                made += ((key, dig % parts, parts, dig, copies, doc, mark, start, n, content) for key, dig, copies, parts, start, n, content in _contents(text, asked, spec))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], kind) for k, kind in enumerate(kinds)], names)
+
+    sent = texts.select("doc", "mark", "text").join(wanted.hint("merge"), ["doc", "mark"]).select("doc", "mark", "text", "wanted")
+    sent = sent.mapInArrow(tidy(run), "key long, part int, parts int, dig long, copies long, doc long, mark long, start int, n int, content binary")
+    dealt = sent.repartition("key", "part").sortWithinPartitions("key", "part", "doc", "mark", "start")
+    judged = work.put(dealt.mapInArrow(tidy(resolve), JUDGED), "judged")
+    work.release()
+    masks = judged.where("content is null").select("key", "dig", "mask")
+    if not sizes.where("parts > 1").isEmpty():
+        # Distinct windows of the parts of large keys, one for each part.
+        windows = judged.where("content is not null").drop("mask")
+        first = windows.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+        again = windows.join(first.hint("merge"), ["key", "content"])
+        again = again.where(place != F.col("first")) if earliest else again
+        masks = masks.union(again.select("key", "dig", F.expr("shiftleft(1L, offset)").alias("mask")))
+    masks = masks.groupBy("key", "dig").agg(F.bit_or("mask").alias("mask"))
+    out = known.join(masks.hint("merge"), ["key", "dig"], "left").select("key", "dig", "copies", place.alias("lead"), F.coalesce("mask", F.lit(0)).alias("mask"))
+    out = work.put(out, "decided")
+    work.drop("classes", "sizes", "judged")
     work.release()
-    out = work.put(classes.join(masks.hint("merge"), ["key", "dig"]).select("key", "dig", "copies", F.struct("doc", "pos").alias("lead"), "mask"), "judged")
-    work.drop("classes", "hot", "masks")
     return out
 
 
-def _contents(doc: int, data: bytes, asked: pa.Scalar, spec: Spec) -> Iterator[tuple]:
-    from skein.llm.windows import position
-
-    mark, words = position(0, data), data.split() if spec.words else None
+def _contents(text: pa.Scalar, asked: pa.Scalar, spec: Spec) -> Iterator[tuple]:
+    data = text.as_buffer().to_pybytes()
+    words = data.split() if spec.words else None
     for x in asked.as_py():
-        if x["pos"] & 0xFFFFFFFF != mark:
-            continue
-        a, end = x["pos"] >> 32, (x["pos"] >> 32) + x["n"] + spec.width - 1
-        content = b" ".join(words[a:end]) if words is not None else data[a:end]
-        if x["parts"] == 1:
-            parts = {0: (1 << x["n"]) - 1}
-        else:
-            (hashes,) = run_hashes(spec.tokens(content), (spec.width,))
-            parts = {}
-            for k, part in enumerate((hashes % np.uint64(x["parts"])).tolist()):
-                parts[part] = parts.get(part, 0) | 1 << k
-        for part, mask in parts.items():
-            mask = mask - (1 << 64) if mask >> 63 else mask
-            yield x["key"], part, x["dig"], x["copies"], doc, x["pos"], x["n"], mask, content
-
-
-def removal(hits: DataFrame, judged: DataFrame, earliest: bool) -> DataFrame:
-    """(doc, removed): for each document with something to remove, its segments and window masks."""
-    here, full = F.struct("doc", "pos"), F.expr("shiftrightunsigned(-1L, 64 - n)")
-    settled, open_ = hits.where("same"), hits.where(~F.col("same")).select("key", "dig", "doc", "pos", "n")
-    if earliest:
-        settled = settled.where(here != F.col("first"))
-        mask = F.when(here == F.col("lead"), F.col("mask")).otherwise(full)
-    else:
-        mask = F.when(F.col("copies") > 1, full).otherwise(F.col("mask"))
-    rows = settled.select("doc", "pos", full.alias("mask")).unionByName(
-        open_.join(judged.hint("merge"), ["key", "dig"]).select("doc", "pos", mask.alias("mask")).where("mask <> 0")
-    )
-    return rows.groupBy("doc").agg(F.collect_list(F.struct("pos", "mask")).alias("removed"))
+        a, end = x["start"], x["start"] + x["n"] + spec.width - 1
+        yield x["key"], x["dig"], x["copies"], x["parts"], a, x["n"], b" ".join(words[a:end]) if words is not None else data[a:end]
+
+
+def removal(hits: DataFrame, decided: DataFrame, earliest: bool) -> DataFrame:
+    """(doc, mark, removed): for each row with something to remove, its segments and window masks."""
+    full = F.expr("shiftrightunsigned(-1L, 64 - n)")
+    keeps = F.struct("doc", "mark", "start") == F.col("lead") if earliest else F.col("copies") == 1
+    rows = hits.join(decided.hint("merge"), ["key", "dig"]).select("doc", "mark", "start", F.when(keeps, F.col("mask")).otherwise(full).alias("gone"))
+    return rows.where("gone <> 0").groupBy("doc", "mark").agg(F.collect_list(F.struct("start", F.col("gone").alias("mask"))).alias("removed"))
 
 
-def removed_tokens(n_tokens: int, mark: int, removed: pa.Scalar, width: int) -> np.ndarray:
+def removed_tokens(n_tokens: int, removed: pa.Scalar, width: int) -> np.ndarray:
     """Which tokens of one document go; ``removed`` as ``removal`` gives it, or null."""
     if not removed.is_valid:
         return np.zeros(n_tokens, bool)
     rows = removed.values
-    pos, mask = rows.field("pos").to_numpy(), rows.field("mask").to_numpy()
-    own = (pos & 0xFFFFFFFF) == mark
-    return covered(n_tokens, pos[own] >> 32, mask[own], width)
+    return covered(n_tokens, rows.field("start").to_numpy(), rows.field("mask").to_numpy(), width)
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool]]:
+    """The rows that ``Resolve`` gets, each with whether it begins a new (key, part); repeated rows of the input give one."""
+    at, last = None, None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            begins = row[:2] != at
+            at = row[:2]
+            # A repeated row of the input sends its segments again.
+            if begins or (row[3], row[5:8]) != last:
+                yield row, begins
+            last = (row[3], row[5:8])

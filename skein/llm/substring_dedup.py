@@ -1,16 +1,21 @@
-"""Removal of repeated word passages by counted window hashes.
+"""Removal of repeated word passages by relative Lempel-Ziv parsing.
 
 A passage of 35 words that occurs anywhere else goes, at all its places. Documents are cut into
-segments (``windows``), routed to the reference blocks that can match them (``routing``); a block is
-indexed by the seeds of its windows, and the hashes of all windows are counted over all blocks of a
-task. Relative Lempel-Ziv factors are read off the windows that match and become duplicate spans; no
-document is parsed against a block's text, and nothing is looked up anew at the end of a factor.
+segments (``windows``) and routed to the reference blocks that can match them (``routing``). A block
+holds the texts of one or more keys as numbers of their words, indexed by a suffix array. Each text is
+factored greedily against the block: at a place the longest match of any other place is taken, if it
+has 35 words; the windows across its end are looked up anew, and one that matches begins the next
+factor. Factors are the duplicate spans. Words are compared as such, not by hashes; equal segments
+are counted (by 128 bits of hash) before, and one of them stands for all.
 
 Defined results
     null text       no words
     null doc_id     kept, returned as null
     repeated rows   two rows with equal id and text are two occurrences
+    equal ids       rows of one id and different texts are documents of their own
     short texts     fewer words than a window: nothing is removed
+    very long texts cut into slices that overlap by a window, so no window is lost
+    ties            of equally long matches any one is taken; the spans are the same
     empty table     empty result
     extra columns   ignored
 """
@@ -25,74 +30,116 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from skein.llm import routing
-from skein.llm.storage import Workspace
-from skein.llm.windows import Spec, position, run_hashes, word_tokens
+from skein.llm.storage import Workspace, tidy
+from skein.llm.windows import Spec
 
 SPEC = Spec(width=35, seed=8, words=True)
-#: Windows of one reference block.
-BLOCK = 1 << 16
+#: Words of one reference block (about), and most classes of a key that are compared in one place.
+BLOCK, CLASSES = 1 << 16, 512
 
 
 class Block:
-    """A part of the reference, indexed by the seeds (window hashes) of its text."""
-
-    def __init__(self, seeds: np.ndarray, keys: np.ndarray) -> None:
-        self.seeds, first, self.times = np.unique(seeds, return_index=True, return_counts=True)
-        self.keys = keys[first]
-
-    def occurrences(self, seeds: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """How often each window stands in this block."""
-        at = np.minimum(np.searchsorted(self.seeds, seeds), len(self.seeds) - 1)
-        return np.where((self.seeds[at] == seeds) & (self.keys[at] == keys), self.times[at], 0)
-
-
-def factors(matched: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Greedy factors (first token, tokens) of a text whose window k matches the reference if ``matched[k]``.
-
-    A factor runs on while the next window matches, so it covers the run and the rest of its last
-    window; windows across its end that match are the start of the next factor.
+    """A part of the reference: texts as numbers of their words, and the suffix array over all of them."""
+
+    def __init__(self, texts: list[list[bytes]]) -> None:
+        numbers: dict[bytes, int] = {}
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        flat = np.fromiter((numbers.setdefault(w, len(numbers) + 1) for text in texts for w in text), np.int64, int(lens.sum()))
+        self.start = np.cumsum(lens + 1) - lens - 1
+        size = int((lens + 1).sum())
+        within = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+        #: Words left in its text at each place; none between texts.
+        self.left = np.zeros(size, np.int64)
+        place = np.repeat(self.start, lens) + within
+        self.left[place] = np.repeat(lens, lens) - within
+        word = np.zeros(size, np.int64)
+        word[place] = flat
+        self.ranks = [word]
+        while 1 << (len(self.ranks) - 1) < max(2, int(lens.max(initial=0))):
+            self.ranks.append(self._pairs(self.ranks[-1], 1 << (len(self.ranks) - 1)))
+        self.order = np.argsort(self.ranks[-1], kind="stable")
+
+    @staticmethod
+    def _after(rank: np.ndarray, span: int) -> np.ndarray:
+        return np.concatenate((rank[span:], np.zeros(min(span, len(rank)), np.int64)))
+
+    def _pairs(self, rank: np.ndarray, span: int) -> np.ndarray:
+        """The order of runs twice as long, from that of runs of ``span`` words."""
+        both = rank * (int(rank.max(initial=0)) + 1) + self._after(rank, span)
+        return np.unique(both, return_inverse=True)[1].astype(np.int64) + 1
+
+    def longest(self) -> np.ndarray:
+        """At each place, the words of the longest match that begins at any other place: that of a neighbour in the suffix array."""
+        a, b = self.order[:-1].copy(), self.order[1:].copy()
+        size, shared = len(self.left), np.zeros(max(0, len(self.order) - 1), np.int64)
+        for level in range(len(self.ranks) - 1, -1, -1):
+            inside = (a < size) & (b < size)
+            rank = self.ranks[level]
+            same = inside & (rank[np.minimum(a, size - 1)] == rank[np.minimum(b, size - 1)])
+            step = same.astype(np.int64) << level
+            shared, a, b = shared + step, a + step, b + step
+        out = np.zeros(size, np.int64)
+        out[self.order[1:]] = shared
+        out[self.order[:-1]] = np.maximum(out[self.order[:-1]], shared)
+        # A match ends with the text, whatever stands behind it.
+        return np.minimum(out, self.left)
+
+    def windows(self, width: int) -> np.ndarray:
+        """A number for the ``width`` words at each place: equal where the words are."""
+        level = width.bit_length() - 1
+        rank = self.ranks[level]
+        return rank * (int(rank.max(initial=0)) + 1) + self._after(rank, width - (1 << level))
+
+
+def factors(longest: list[int], width: int) -> list[tuple[int, int]]:
+    """The greedy factors (first word, words) of one text, given the longest match at each of its places.
+
+    Windows inside a factor match with it. The first window across its end is looked up next.
     """
-    edge = np.diff(np.concatenate(([0], matched.astype(np.int8), [0])))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return list(zip(begin.tolist(), (end - begin + width - 1).tolist()))
+    out, at = [], 0
+    while at + width <= len(longest):
+        if longest[at] >= width:
+            out.append((at, longest[at]))
+            at += longest[at] - width + 1
+        else:
+            at += 1
+    return out
 
 
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of each segment that occur in any other segment of this task, or in a copy of their own."""
-    rows, seeds, last = [], [], None
-    for batch in batches:
-        for key, dig, copies, _, _, n, mask, content in zip(*(c.to_pylist() for c in batch.columns)):
-            # A repeated row of the input sends its segments again.
-            if (key, dig, mask) == last:
-                continue
-            last = (key, dig, mask)
-            (hashes,) = run_hashes(word_tokens(content), (SPEC.width,), base=1)
-            rows.append((key, dig, copies, n, mask))
-            seeds.append(hashes)
-    if not rows:
-        return
-    lens = np.fromiter(map(len, seeds), np.int64, len(seeds))
-    begin = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    all_seeds = np.concatenate(seeds)
-    owner = np.repeat(np.arange(len(rows)), lens)
-    all_keys = np.array([r[0] for r in rows], np.int64)[owner]
-    copies = np.array([r[2] for r in rows], np.int64)[owner]
-    asked = (np.array([r[4] for r in rows], np.int64).view(np.uint64)[owner] >> (np.arange(len(owner)) - begin[owner]).astype(np.uint64)) & np.uint64(1) > 0
-    live = np.flatnonzero(asked)
-    times = np.zeros(len(owner), np.int64)
-    for low in range(0, len(live), BLOCK):
-        part = live[low : low + BLOCK]
-        times[live] += Block(all_seeds[part], all_keys[part]).occurrences(all_seeds[live], all_keys[live])
-    matched = asked & ((times > 1) | (copies > 1))
-    out = []
-    for row, at, n in zip(rows, begin.tolist(), lens.tolist()):
-        mask = 0
-        for start, size in factors(matched[at : at + n], SPEC.width):
-            mask |= ((1 << (size - SPEC.width + 1)) - 1) << start
-        out.append((row[0], row[1], mask))
-    for low in range(0, len(out), 10_000):
-        keys, digs, masks = zip(*out[low : low + 10_000])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digs, pa.int64()), pa.array(masks, pa.int64())], ["key", "dig", "mask"])
+    """The windows of each text that lie in a factor; and of parts of a key, their distinct windows."""
+    width = SPEC.width
+
+    def close(rows: list[tuple], texts: list[list[bytes]]) -> pa.RecordBatch:
+        block, out = Block(texts), []
+        longest = block.longest()
+        for row, text, first in zip(rows, texts, block.start.tolist()):
+            # What has copies is matched as a whole.
+            found = longest[first : first + len(text)].tolist() if row[4] == 1 else list(range(len(text), 0, -1))
+            mask = 0
+            for start, size in factors(found, width):
+                mask |= ((1 << (size - width + 1)) - 1) << start
+            if mask:
+                out.append((row[0], row[3], routing.signed(mask), None, None, None, None, None))
+        if any(row[2] > 1 for row in rows):
+            seen, number = set(), block.windows(width)
+            for row, text, first in zip(rows, texts, block.start.tolist()):
+                for k, x in enumerate(number[first : first + row[8]].tolist() if row[2] > 1 else ()):
+                    if (row[:2], x) not in seen:
+                        seen.add((row[:2], x))
+                        out.append((row[0], row[3], None, *row[5:8], k, b" ".join(text[k : k + width])))
+        return routing.judged_batch(out)
+
+    rows, texts, held = [], [], 0
+    for row, begins in routing.groups(batches):
+        if begins and held >= BLOCK:
+            yield close(rows, texts)
+            rows, texts, held = [], [], 0
+        rows.append(row)
+        texts.append(row[9].split())
+        held += len(texts[-1])
+    if rows:
+        yield close(rows, texts)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +148,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, removed in zip(batch.column(1), batch.column(2)):
             data = text.as_buffer().to_pybytes()
             words = data.split()
-            cut = routing.removed_tokens(len(words), position(0, data), removed, SPEC.width)
+            cut = routing.removed_tokens(len(words), removed, SPEC.width)
             counts.append(len(words))
             gone.append(int(cut.sum()))
             if gone[-1]:
@@ -115,13 +162,13 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the kept words in UTF-8, joined by one space)."""
     work = Workspace(docs.sparkSession, "passages")
     texts = routing.plain(docs)
-    hits = routing.repeats(texts, SPEC, work, earliest=False)
-    judged = routing.compared(texts, hits, SPEC, work, resolve)
-    cuts = work.put(routing.removal(hits, judged, earliest=False), "cuts")
-    work.drop("hits", "judged")
+    hits = routing.repeats(texts, SPEC, work)
+    decided = routing.compared(texts, hits, SPEC, work, resolve, CLASSES, earliest=False)
+    cuts = work.put(routing.removal(hits, decided, earliest=False), "cuts")
+    work.drop("hits", "decided")
     work.release()
-    joined = texts.join(cuts.hint("merge"), "doc", "left").select("doc_id", "text", "removed")
-    return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")
+    joined = texts.join(cuts.hint("merge"), ["doc", "mark"], "left").select("doc_id", "text", "removed")
+    return joined.mapInArrow(tidy(_cut), "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def reference(texts: list[str | None], width: int = SPEC.width) -> list[tuple[int, int, str]]:

@@ -11,7 +11,6 @@ Segments of equal ``key`` and ``dig`` have equal tokens. Offsets of windows in a
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -118,25 +117,25 @@ def segments(pieces: list[np.ndarray], spec: Spec) -> tuple[np.ndarray, ...]:
     return piece, whole[first] - base[piece], count, seeds[place[first]].view(np.int64), dig.view(np.int64)
 
 
-def scan(docs: Iterator[tuple[int, bytes]], spec: Spec) -> Iterator[tuple[np.ndarray, ...]]:
-    """Segments of many documents: arrays of (key, dig, doc, pos, n), pos from ``position``."""
+def scan(docs: Iterator[tuple[int, int, bytes]], spec: Spec) -> Iterator[tuple[np.ndarray, ...]]:
+    """Segments of many documents (doc, mark, text): arrays of (key, dig, doc, mark, start, n)."""
     pieces: list[np.ndarray] = []
     labels: list[tuple[int, int, int]] = []
 
     def flush() -> tuple[np.ndarray, ...]:
         piece, start, n, key, dig = segments(pieces, spec)
-        doc, base, mark = (np.array([x[i] for x in labels], np.int64)[piece] for i in range(3))
+        doc, mark, base = (np.array([x[i] for x in labels], np.int64)[piece] for i in range(3))
         pieces.clear()
         labels.clear()
-        return key, dig, doc, (start + base) << 32 | mark, n.astype(np.int32)
+        return key, dig, doc, mark, (start + base).astype(np.int32), n.astype(np.int32)
 
     held = 0
-    for doc, data in docs:
-        tokens, mark = spec.tokens(data), zlib.crc32(data)
+    for doc, mark, data in docs:
+        tokens = spec.tokens(data)
         for base in range(0, len(tokens) - spec.width + 1, SLICE):
             cut = tokens[base : base + SLICE + spec.width - 1]
             pieces.append(cut)
-            labels.append((doc, base, mark))
+            labels.append((doc, mark, base))
             held += len(cut)
             if held >= SLICE:
                 yield flush()
@@ -145,11 +144,6 @@ def scan(docs: Iterator[tuple[int, bytes]], spec: Spec) -> Iterator[tuple[np.nda
         yield flush()
 
 
-def position(start: int, data: bytes) -> int:
-    """Where a segment stands: its first token and, below that, a mark of the text it is in."""
-    return start << 32 | zlib.crc32(data)
-
-
 def covered(n_tokens: int, starts: np.ndarray, masks: np.ndarray, width: int) -> np.ndarray:
     """Which tokens lie in a window whose bit is set, as booleans."""
     segment, offset = np.nonzero((masks.view(_U)[:, None] >> np.arange(64, dtype=_U)) & _U(1))

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from skein.llm import exact_dedup, near_dedup, sharding, simhash, substring_dedup, suffix_dedup
+from skein.llm import exact_dedup, near_dedup, routing, sharding, simhash, substring_dedup, suffix_dedup, windows
 from skein.llm.storage import Workspace
 
 SCHEMA = "doc_id long, text string, digest string, mask long, shard int, doc long, size long"
@@ -182,14 +182,104 @@ def test_strings(spark):
     assert suffix_dedup.remove_strings(docs(spark, [])).count() == 0
 
 
-def test_substring_parts_of_a_hot_key(spark, monkeypatch):
-    from skein.llm import routing
+def passages(spark, rows):
+    return sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in substring_dedup.remove_passages(docs(spark, rows)).collect()), key=str)
 
-    monkeypatch.setattr(routing, "CLASSES", 2)
-    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.remove_strings(docs(spark, ROWS)).collect()}
-    assert found == suffix_dedup.reference(ROWS)
-    words = {(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in substring_dedup.remove_passages(docs(spark, ROWS)).collect()}
-    assert words == {(d, *x) for (d, _), x in zip(ROWS, substring_dedup.reference([t for _, t in ROWS]))}
+
+def strings(spark, rows):
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.remove_strings(docs(spark, rows)).collect()), key=str)
+
+
+def passages_by_hand(rows):
+    return sorted(((d, *x) for (d, _), x in zip(rows, substring_dedup.reference([t for _, t in rows]))), key=str)
+
+
+def strings_by_hand(spark, rows):
+    """Rows of one id, or of none, stand in the order of their texts' hashes; rows equal in both are one document."""
+    known = {(r.doc_id, r.text): (r.doc, r.mark) for r in routing.plain(docs(spark, rows)).collect()}
+    order = sorted(known, key=known.get)
+    found = suffix_dedup.reference([(k, t) for k, (_, t) in enumerate(order)])
+    return sorted(((d, *found[order.index((d, t or ""))]) for d, t in rows), key=str)
+
+
+@pytest.mark.parametrize("classes", [2, 16])
+def test_substring_parts_of_a_hot_key(spark, monkeypatch, classes):
+    monkeypatch.setattr(suffix_dedup, "CLASSES", classes)
+    monkeypatch.setattr(substring_dedup, "CLASSES", classes)
+    draw = random.Random(12)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    passage = " ".join(word() for _ in range(40))
+    rows = ROWS + [(1000 + k, f"{' '.join(word() for _ in range(12))} {passage} {' '.join(word() for _ in range(12))}") for k in range(400)]
+    assert strings(spark, rows) == strings_by_hand(spark, rows)
+    assert passages(spark, rows) == passages_by_hand(rows)
+
+
+def test_substrings_of_very_long_texts(spark):
+    draw = random.Random(13)
+    word = lambda: f"{draw.randrange(10**5)}"
+    long = [word() for _ in range(windows.SLICE + 3000)]
+    # A passage of the text's end and one across the border of its slices stand elsewhere too.
+    rows = [(1, " ".join(long)), (2, " ".join(long[-50:])), (3, " ".join(["x", *long[windows.SLICE - 30 : windows.SLICE + 30], "y"])), (4, "\t".join(long[500:600]))]
+    assert passages(spark, rows) == passages_by_hand(rows)
+    assert len(rows[0][1]) > 5 * windows.SLICE
+    assert strings(spark, rows) == strings_by_hand(spark, rows)
+
+
+def test_substrings_of_rows_with_one_id_or_none(spark):
+    draw = random.Random(14)
+    text = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    shared, other = text(45), text(50)
+    rows = [(None, f"{text(5)} {shared} {text(k % 7)}") for k in range(30)] + [(7, f"{other} {text(3)}"), (7, f"{text(3)} {other}"), (7, text(60)), (7, None), (None, None), (None, "")]
+    rows += [(8, other), (8, other), (9, f"{text(4)} {shared}")]
+    assert passages(spark, rows) == passages_by_hand(rows)
+    assert strings(spark, rows) == strings_by_hand(spark, rows)
+
+
+def key_group(texts, width, separator=b" "):
+    """What ``resolve`` gets for one key: its texts in order of place."""
+    import pyarrow as pa
+
+    size = lambda t: len(t.split() if separator else t) - width + 1
+    rows = [(5, 0, 1, k, 1, k, 0, 0, size(t), t) for k, t in enumerate(texts)]
+    names = ["key", "part", "parts", "dig", "copies", "doc", "mark", "start", "n", "content"]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+
+
+def test_a_parse_looks_up_the_windows_at_the_ends_of_factors():
+    draw = random.Random(15)
+    texts = [b" ".join(draw.choice([b"a", b"bb", b"c"]) for _ in range(draw.randint(35, 62))) for _ in range(4)]
+    # Texts pieced together from others, so that windows across the ends of factors match in third places.
+    pool = [b" ".join(b"%d" % draw.randrange(1000) for _ in range(62)) for _ in range(3)]
+    for _ in range(60):
+        a, b = (draw.choice(texts[4:] or pool).split() for _ in range(2))
+        cut = draw.randint(0, 30)
+        texts.append(b" ".join((a[cut : cut + draw.randint(20, 45)] + b[draw.randint(0, 20) :])[: draw.randint(40, 62)]))
+    texts = [t for t in pool + texts if len(t.split()) >= 35]
+    found = {r["dig"]: r["mask"] for b in substring_dedup.resolve(iter([key_group(texts, 35)])) for r in b.to_pylist()}
+    seen = {}
+    for t in texts:
+        for k in range(len(t.split()) - 34):
+            seen[tuple(t.split()[k : k + 35])] = seen.get(tuple(t.split()[k : k + 35]), 0) + 1
+    want = {d: sum(1 << k for k in range(len(t.split()) - 34) if seen[tuple(t.split()[k : k + 35])] > 1) for d, t in enumerate(texts)}
+    assert found == {d: m for d, m in want.items() if m}
+    assert substring_dedup.factors([40, 39, 38, 35, 36, 35, 34, *range(33, 0, -1)], 35) == [(0, 40)]
+
+
+def test_batches_are_scanned_against_the_levels_of_earlier_ones(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH", 3)
+    draw = random.Random(16)
+    texts = [bytes(draw.choice(b"ab") for _ in range(draw.randint(100, 163))) for _ in range(5)]
+    for _ in range(60):
+        a, b = draw.choice(texts), draw.choice(texts)
+        texts.append((a[draw.randint(0, 30) :] + b[: draw.randint(10, 120)])[:163].ljust(100, b"\0"))
+    found = {r["dig"]: r["mask"] for b in suffix_dedup.resolve(iter([key_group(texts, 100, None)])) for r in b.to_pylist()}
+    seen, want = set(), {}
+    for d, t in enumerate(texts):
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                want[d] = want.get(d, 0) | 1 << k
+            seen.add(t[k : k + 100])
+    assert {d: m % (1 << 64) for d, m in found.items()} == want
 
 
 def test_index_family_merges_levels():
@@ -197,14 +287,15 @@ def test_index_family_merges_levels():
 
     family, seen, draw = suffix_dedup.IndexFamily(3), set(), random.Random(1)
     for _ in range(60):
-        batch = ["".join(draw.choice("abcd") for _ in range(3)).encode() for _ in range(draw.randint(1, 9))]
-        want = []
-        for x in batch:
-            want.append(x in seen)
-            seen.add(x)
-        assert family.scan_and_add(np.array(batch, "S3")).tolist() == want
+        text = "".join(draw.choice("abcd") for _ in range(draw.randint(3, 12))).encode()
+        starts, want = [k for k in range(len(text) - 2) if draw.random() < 0.8], []
+        for k in starts:
+            want.append(text[k : k + 3] in seen)
+            seen.add(text[k : k + 3])
+        assert family.scan_and_add(text, np.array(starts, np.int64)).tolist() == want
     assert sum(map(len, family.levels)) == len(seen)
     assert all(2 * len(b) < len(a) for a, b in zip(family.levels, family.levels[1:]))
+    assert all(x.strings().tolist() == sorted(x.strings().tolist()) for x in family.levels)
 
 
 def test_shards(spark):
