@@ -59,11 +59,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard(table(spark, sf_dir, "documents"))
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return placed.select(
-        "doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+    # The checksum is taken before the exchange, so that no text has to ride through it.
+    placed = sharding.shard(table(spark, sf_dir, "documents").withColumn("text_crc32", crc))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +98,31 @@ ORACLES: dict[str, str] = {
                doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id) AS kept,
                text_sha256
         FROM d""",
+    "op5_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+             w AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d),
+             s AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS pos, words FROM d),
+             h AS (SELECT doc_id, pos, md5_number(array_to_string(list_slice(words, pos, pos + 34), ' ')) AS run FROM s),
+             r AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY run) > 1 AS again FROM h),
+             c AS (SELECT w.doc_id, w.pos, w.word,
+                          coalesce(bool_or(r.again) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) AS gone
+                   FROM w LEFT JOIN r USING (doc_id, pos)),
+             k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept
+                   FROM c GROUP BY doc_id)
+        SELECT d.doc_id, len(d.words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
+    "op10_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS data, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
+             h AS (SELECT doc_id, pos, md5_number(array_slice(data, pos, pos + 99)) AS run
+                   FROM (SELECT doc_id, data, unnest(range(1, n_bytes - 98)) AS pos FROM d)),
+             r AS (SELECT doc_id, pos, (doc_id, pos) <> min((doc_id, pos)) OVER (PARTITION BY run) AS again FROM h),
+             c AS (SELECT doc_id, pos, again, lag(pos) OVER near AS before FROM r WHERE again WINDOW near AS (PARTITION BY doc_id ORDER BY pos)),
+             e AS (SELECT doc_id, pos, sum(CASE WHEN pos - before <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM c),
+             g AS (SELECT doc_id, span, min(pos) AS first, max(pos) + 99 AS last FROM e GROUP BY doc_id, span),
+             k AS (SELECT doc_id, sum(last - first + 1)::BIGINT AS n_removed, count(*) AS n_spans, list({'a': first, 'b': last} ORDER BY first) AS gone FROM g GROUP BY doc_id)
+        SELECT d.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(CASE WHEN gone IS NULL THEN data ELSE unhex(array_to_string(
+                   [hex(array_slice(data, CASE WHEN i = 1 THEN 1 ELSE gone[i - 1].b + 1 END, CASE WHEN i > len(gone) THEN n_bytes ELSE gone[i].a - 1 END))
+                    FOR i IN range(1, len(gone) + 2)], '')) END) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
 }

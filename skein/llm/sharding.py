@@ -4,22 +4,27 @@ Documents are ordered by (hash of the text, doc_id), so that equal texts lie sid
 driver holds, for each of the 15 boundaries between 16 shards, an interval of keys that contains it;
 each round probes all open intervals at several keys, one aggregation counts the exact bytes and rows
 below every probe, and the intervals shrink until every boundary meets the tolerance. What reaches
-the driver is one row per probe, whatever the input. Only then do the documents move, once.
+the driver is one row per probe, whatever the input. Only then do the documents move, once, in parts:
+ranges of hashes within a shard, as many as the rows ask for, and where one range holds far more than
+its share (a frequent text), pieces of it by a hash of the id. A part is sorted and numbered by itself;
+the rows of the parts before it in the shard are counted beforehand, so slots are gapless.
 
 A boundary falls between two groups of equal texts wherever the tolerance allows; a group is cut
-(by doc_id) only if keeping it whole would break the tolerance.
+(by doc_id) only if keeping it whole would break the tolerance: shards of near equal sizes can't hold
+a text that makes up more of the input than a shard does.
 
 Defined results
     null text        no bytes, size 1
     null doc_id      sorts before every other id
     repeated rows    rows with equal text and id stay in one shard; each has its own slot
+    ties             rows of equal hash and id are numbered in any order
+    very long texts  a text is one row; a shard with a text longer than its share holds that text
     empty table      empty result
     extra columns    kept; input columns named as a result column are replaced
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,8 +34,10 @@ from skein.llm.storage import Workspace
 
 #: Probes of each open boundary in a round.
 PROBES = 8
-#: Parts of a shard that are numbered in tasks of their own.
-PARTS = 8
+#: Rows of a range of hashes (about), and the least and greatest number of ranges: a power of two.
+ROWS, RANGES = 1 << 18, (1 << 10, 1 << 16)
+#: Ranges with more than so many times their share are cut in pieces.
+HEAVY = 4
 _BIAS = 1 << 63
 _HASH, _ID = "_skein_hash", "_skein_id"
 
@@ -134,24 +141,28 @@ def shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.002) -> DataFr
         }
     )
     keys = work.put(keyed.select(_HASH, _ID, "size"), "keys")
-    cuts = splitters(keys, shards, tolerance)
-    ranges = _histogram(keys, sorted(set(cuts)))
-    parts = set(cuts)
-    for _, rows, first, last in ranges:
-        if rows:
-            parts |= {first + (last - first) * k // PARTS for k in range(1, PARTS)}
-    parts = sorted(parts)
-    counts = [rows for _, rows, *_ in _histogram(keys, parts)]
-    shard_of = [bisect_right(cuts, parts[k - 1]) if k else 0 for k in range(len(parts) + 1)]
-    start, base = {}, []
-    for k, rows in enumerate(counts):
-        base.append(start.get(shard_of[k], 0))
-        start[shard_of[k]] = base[-1] + rows
-    of, from_ = (F.expr(f"array({', '.join(map(str, x))})") for x in (shard_of, [f"{b}L" for b in base]))
-    order = Window.partitionBy("_skein_part").orderBy(_HASH, _ID)
+    cuts = sorted(splitters(keys, shards, tolerance))
+    rows = keys.count()
+    ranges = min(RANGES[1], max(RANGES[0], 1 << (rows // ROWS).bit_length()))
+    at = {"shard": _bin(cuts), "_skein_range": F.shiftright(_HASH, 65 - ranges.bit_length())}
+    # At most ``ranges`` and one more for each cut, however large the input: small enough to send to all.
+    pieces = F.ceil(F.count("*") * F.lit(ranges / (HEAVY * max(1, rows)))).cast("int")
+    heavy = work.put(keys.withColumns(at).groupBy(*at).agg(pieces.alias("_skein_pieces")).where("_skein_pieces > 1"), "heavy")
+    part = [*at, "_skein_piece"]
+
+    def dealt(df: DataFrame) -> DataFrame:
+        piece = F.pmod(F.xxhash64(_ID), F.coalesce("_skein_pieces", F.lit(1))).cast("int")
+        return df.withColumns(at).join(F.broadcast(heavy), list(at), "left").withColumn("_skein_piece", piece).drop("_skein_pieces")
+
+    counts = dealt(keys).groupBy(*part).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("_skein_range", "_skein_piece").rowsBetween(Window.unboundedPreceding, -1)
+    # At most ``HEAVY + 1`` times as many rows as ``heavy`` may have.
+    starts = work.put(counts.select(*part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_skein_start")), "starts")
+    order = Window.partitionBy(*part).orderBy(_HASH, _ID)
     return (
-        keyed.withColumn("_skein_part", _bin(parts))
+        dealt(keyed)
         .withColumn("_skein_row", F.row_number().over(order))
-        .withColumns({"shard": F.get(of, F.col("_skein_part")), "slot": F.get(from_, F.col("_skein_part")) + F.col("_skein_row") - 1})
-        .drop("_skein_part", "_skein_row", _HASH, _ID)
+        .join(F.broadcast(starts), part)
+        .withColumn("slot", F.col("_skein_start") + F.col("_skein_row") - 1)
+        .select(*docs.drop("size", "shard", "slot").columns, "size", "shard", "slot")
     )
