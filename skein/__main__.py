@@ -10,6 +10,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.records import envelope
 from skein.operators.sessions import relative_time
 
 
@@ -26,6 +27,11 @@ def _emit_one(schema: str, record: dict) -> None:
     print(json.dumps({"schema": schema, "record": record}, ensure_ascii=False))
 
 
+#: Commands that read the homes alone.
+READ = ("list", "show", "sources", "dump", "current")
+CLAIMS = "harness string, pid long, started_at string, native_id string, certainty string, exact_session string, evidence array<string>, reason string"
+
+
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="skein")
     parser.add_argument("--codex", help="home of rollout logs")
@@ -48,15 +54,22 @@ def _parser() -> argparse.ArgumentParser:
     commands.add_parser("reclaim", help="drop what no generation presents any more")
     for name in ("export", "import"):
         commands.add_parser(name, help=f"{name} the retained state").add_argument("file")
+    commands.add_parser("sources", help="what the homes hold, whether it is read or not")
+    command = commands.add_parser("dump", help="one JSON document of a session's events")
+    command.add_argument("session")
+    command = commands.add_parser("current", help="sessions that running processes work on")
+    command.add_argument("claims", help="a JSON file of process claims, one a line")
+    command.add_argument("--exact", action="store_true", help="only what a process proves")
+    commands.add_parser("doctor", help="check the catalog; exit status 1 if something is broken")
     return parser
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
     homes = {h: d for h, d in (("codex", args.codex), ("claude", args.claude)) if d}
-    if args.command in ("list", "show", "scan", "status") and not homes:
+    if args.command in READ + ("scan", "status") and not homes:
         raise SystemExit("give --codex or --claude")
-    if args.command not in ("list", "show") and not args.catalog:
+    if args.command not in READ and not args.catalog:
         raise SystemExit("give --catalog")
     spark = spark or SparkSession.builder.appName("skein").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     from skein.plans import listing
@@ -69,6 +82,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         _emit("skein.session/v1", listing.listed(spark, homes, since, until))
     elif args.command == "show":
         _emit("skein.event/v1", listing.read(spark, homes, args.session))
+    elif args.command == "sources":
+        _emit("skein.source/v1", listing.sources(spark, homes).drop("rank"))
+    elif args.command == "dump":
+        events = listing.read(spark, homes, args.session).drop("payload", "content")
+        print(envelope(events, "skein.session/v1", "skein", ["record", "event_index"]).first().document)
+    elif args.command == "current":
+        _emit("skein.presence/v1", listing.current(spark, homes, spark.read.schema(CLAIMS).json(args.claims), args.exact))
+    elif args.command == "doctor":
+        report = store.doctor()
+        for row in report:
+            _emit_one("skein.check/v1", row)
+        return int(any(r["status"] == "error" for r in report))
     elif args.command == "scan":
         _emit_one("skein.scan/v1", {**store.scan(homes), "generation": store.generation(), "changes": store.changes()})
     elif args.command == "search":

@@ -43,30 +43,62 @@ def literal(docs: DataFrame, query: str, k: int = DEFAULT_LIMIT, body: str = "bo
 
 
 def trigrams(text: Column) -> Column:
-    """The distinct runs of three code points."""
-    at = F.sequence(F.lit(1), F.length(text) - 2)
-    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(at, lambda k: F.substr(text, k, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """The distinct runs of three code points, in time linear in the text."""
+    points = F.split(text, "")
+    n = F.greatest(F.size(points) - 2, F.lit(0))
+    pairs = F.zip_with(F.slice(points, 1, n), F.slice(points, 2, n), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.zip_with(pairs, F.slice(points, 3, n), lambda a, b: F.concat(a, b)))
 
 
 def trigram_index(docs: DataFrame, body: str = "body", key: str = "doc_id") -> DataFrame:
-    """(trigram, key): postings that narrow a literal search down; write them partitioned or clustered by trigram."""
+    """(trigram, key): postings that narrow a literal search down; to be stored sorted by trigram."""
     return docs.select(key, F.explode(trigrams(F.col(body))).alias("trigram"))
 
 
+def query_trigrams(query: str) -> list[str]:
+    return sorted({query[k : k + 3] for k in range(len(query) - 2)})
+
+
+def trigram_postings(docs: DataFrame, wanted: list[str], body: str = "body", key: str = "doc_id") -> DataFrame:
+    """The rows of ``trigram_index`` for ``wanted`` alone, found by looking for each: no other posting is ever built."""
+    held = F.filter(F.array(*[F.lit(t) for t in wanted]), lambda t: F.contains(F.col(body), t))
+    return docs.select(key, F.explode(held).alias("trigram"))
+
+
 def literal_by_trigrams(docs: DataFrame, index: DataFrame, query: str, body: str = "body", key: str = "doc_id") -> tuple[DataFrame, str]:
-    """All documents that contain ``query``, and how they were found: ``trigram``, or ``scan`` for a query under three characters."""
-    wanted = sorted({query[k : k + 3] for k in range(len(query) - 2)})
+    """All documents that contain ``query``, and how they were found: ``trigram``, or ``scan`` for a query under three characters.
+
+    ``index`` has (trigram, key) rows; a stored one that is sorted by trigram is read in part only.
+    """
+    wanted = query_trigrams(query)
     if not wanted:
         return docs.where(F.col(body).contains(query)), "scan"
     found = index.where(F.col("trigram").isin(wanted)).groupBy(key).agg(F.count_distinct("trigram").alias("n")).where(F.col("n") == len(wanted))
     return docs.join(found.select(key), key, "left_semi").where(F.col(body).contains(query)), "trigram"
 
 
-def postings(docs: DataFrame, body: str = "body", key: str = "doc_id") -> DataFrame:
+def postings(docs: DataFrame, body: str = "body", key: str = "doc_id", terms: Callable[[Column], Column] = tokens) -> DataFrame:
     """(key, term, tf, dl): term frequencies and document lengths in tokens, counted within each row, without a shuffle."""
-    words = docs.select(key, tokens(F.col(body)).alias("words"))
-    rows = words.select(key, F.size("words").alias("dl"), F.explode(F.array_distinct("words")).alias("term"), "words")
-    return rows.select(key, "term", F.size(F.filter("words", lambda w: w == F.col("term"))).alias("tf"), "dl")
+    words = docs.select(key, F.array_sort(terms(F.col(body))).alias("words"))
+    # Equal terms lie side by side: a term's run is cut where the next one begins, in time linear in the text.
+    n = F.size("words")
+    first = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | (F.get("words", k) != F.get("words", k - 1)))
+    runs = F.when(n > 0, F.zip_with(first, F.concat(F.slice(first, 2, F.greatest(F.size(first) - 1, F.lit(0))), F.array(n)), lambda a, b: F.struct(F.get("words", a).alias("term"), (b - a).alias("tf"))))
+    rows = words.select(key, n.alias("dl"), F.explode(runs).alias("run"))
+    return rows.select(key, "run.term", "run.tf", "dl")
+
+
+def bm25_of_postings(index: DataFrame, docs: DataFrame, query: list[str], k: int = DEFAULT_LIMIT, key: str = "doc_id", length: str = "dl") -> DataFrame:
+    """The k best (key, score) of ``docs`` (key, length in tokens) by stored ``postings``; only those of the query's terms are read."""
+    hits = index.where(F.col("term").isin(query)).select(key, "term", "tf").join(docs.select(key, length), key)
+    size, mean = docs.agg(F.count("*"), F.avg(length)).first()
+    df = dict(hits.groupBy("term").count().collect())
+    if not df:
+        return hits.select(key, F.lit(0.0).alias("score")).limit(0)
+    weight = F.create_map(*[F.lit(x) for t in query if t in df for x in (t, math.log(1 + (size - df[t] + 0.5) / (df[t] + 0.5)))])
+    tf, dl = F.col("tf").cast("double"), F.col(length).cast("double")
+    part = F.element_at(weight, F.col("term")) * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * dl / (mean or 1.0)))
+    return hits.groupBy(key).agg((-F.sum(part)).alias("score")).orderBy("score", key).limit(limit_or_default(k))
 
 
 #: How a text and a query are cut into terms.

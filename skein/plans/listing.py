@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators import presence, records
 from skein.operators import sessions as listing
 from skein.plans.store import READERS
 from skein.sources import framing
@@ -21,9 +22,9 @@ def timestamp(raw: Column) -> Column:
 def _records(spark: SparkSession, harness: str, home: str, path: str | None = None) -> DataFrame:
     """Records of a home, or of one container below it, with their session."""
     reader, files = READERS[harness], framing.containers(spark, path or home)
-    found, records = reader.discover(files, home), framing.records(files)
-    named = reader.sessions(records, found) if harness == "codex" else found.where("session is not null")
-    return records.where("record is not null").join(named.select("path", "relative", "native_id", "occurrence", "session"), "path").withColumn("harness", F.lit(harness))
+    found, framed = reader.discover(files, home), framing.records(files)
+    named = reader.sessions(framed, found) if harness == "codex" else found.where("session is not null")
+    return framed.where("record is not null").join(named.select("path", "relative", "native_id", "occurrence", "session"), "path").withColumn("harness", F.lit(harness))
 
 
 def sessions(spark: SparkSession, homes: dict[str, str]) -> DataFrame:
@@ -62,3 +63,21 @@ def read(spark: SparkSession, homes: dict[str, str], selector: str) -> DataFrame
     harness = found[0].harness
     records = _records(spark, harness, homes[harness], found[0].path)
     return READERS[harness].events(records).orderBy("record", "event_index")
+
+
+def sources(spark: SparkSession, homes: dict[str, str]) -> DataFrame:
+    """The sources of all homes in listing order: by harness, canonical before auxiliary, by id."""
+    parts = None
+    for harness, home in sorted(homes.items()):
+        relative = F.regexp_replace("path", "^.*?" + home.rstrip("/").replace(".", r"\.") + "/", "")
+        rows = records.sources(framing.containers(spark, home).select(relative.alias("relative")), harness, home)
+        parts = rows if parts is None else parts.unionByName(rows)
+    return parts.orderBy("harness", "rank")
+
+
+def current(spark: SparkSession, homes: dict[str, str], claims: DataFrame, exact_only: bool = False) -> DataFrame:
+    """The listed sessions that a running process works on, by injected ``claims`` (see ``presence``), with its certainty."""
+    known = sessions(spark, homes)
+    found = presence.matches(claims, known.select("harness", "native_id", "session"), exact_only)
+    chosen = found.select(F.explode(F.when(F.col("selected").isNotNull(), F.array("selected")).otherwise(F.col("candidates"))).alias("session"), "certainty", "processes")
+    return known.join(chosen, "session")

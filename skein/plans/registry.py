@@ -142,11 +142,39 @@ def hydrate_hits(spark, sf_dir):
 def trigram_prefilter(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     wanted = "General Public"
-    # Only the postings of the query's trigrams are ever built: the filter is pushed below the explode.
-    found, _ = search.literal_by_trigrams(docs, search.trigram_index(docs, body="text"), wanted, body="text")
+    # Without a stored index: only the postings of the query's trigrams are built.
+    index = search.trigram_postings(docs, search.query_trigrams(wanted), body="text")
+    found, _ = search.literal_by_trigrams(docs, index, wanted, body="text")
     return found.select("doc_id")
 
 
+@query(
+    "SELECT c[k] || c[k + 1] || c[k + 2] AS trigram, count(DISTINCT doc_id) AS documents FROM "
+    "(SELECT doc_id, c, unnest(range(1, len(c) - 1)) AS k FROM (SELECT doc_id, string_split(text, '') AS c FROM documents)) GROUP BY 1"
+)
+def trigram_document_counts(spark, sf_dir):
+    index = search.trigram_index(table(spark, sf_dir, "documents"), body="text")
+    return index.groupBy("trigram").agg(F.count("*").alias("documents"))
+
+
+@query(
+    "SELECT term, sum(tf)::BIGINT AS tf, count(*) AS df, max(dl) AS longest FROM (SELECT doc_id, w AS term, count(*) AS tf, any_value(dl) AS dl FROM "
+    "(SELECT doc_id, unnest(words) AS w, len(words) AS dl FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS words FROM documents)) "
+    "GROUP BY ALL) GROUP BY 1"
+)
+def posting_counts(spark, sf_dir):
+    rows = search.postings(table(spark, sf_dir, "documents"), body="text")
+    return rows.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"), F.max("dl").cast("long").alias("longest"))
+
+
+@query(_bm25_sql("", True))
+def bm25_stored_postings(spark, sf_dir):
+    docs, wanted = table(spark, sf_dir, "documents"), search.query_terms(WORDS)
+    index = search.postings(docs, body="text")
+    lengths = docs.select("doc_id", F.size(text.tokens(F.col("text"))).alias("dl"))
+    return _rounded(search.bm25_of_postings(index, lengths, wanted))
+
+
 # --- passages -------------------------------------------------------------------------------------
 
 _KIND_SQL = "CASE role WHEN 'assistant' THEN 'assistant' WHEN 'system' THEN 'system' WHEN 'developer' THEN 'system' ELSE 'user' END"

@@ -10,10 +10,12 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import os
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +28,8 @@ TABLES = {
     "checkpoint": ("occurrence", "occurrence string, discovery string, builder string, session string, revision string, snapshot_hash string, change_kind string"),
 }
 CODEC = "gzip"
+#: Characters of a key, behind those that all share, by which rows are dealt in ranges.
+RANGE = 2
 
 
 @F.pandas_udf(T.BinaryType())
@@ -72,12 +76,28 @@ def _line(schema: str, columns: list[Column]) -> Column:
     return F.to_json(F.struct(F.lit(schema).alias("schema"), F.struct(*columns).alias("record")))
 
 
-def _lines(tables: dict[str, DataFrame]) -> Iterator[tuple[str, str]]:
-    for name, (key, ddl) in TABLES.items():
+def stream(tables: dict[str, DataFrame]) -> DataFrame:
+    """(position, name, key, line): the records of a state stream, numbered from 1 in its order: by table, then by key.
+
+    Rows are sorted in ranges of the characters in which a table's keys first differ; a number is the rows of
+    the ranges before and the place in its own. So no task sorts them all, and only ranges are added up.
+    """
+    parts = []
+    for number, (name, (key, ddl)) in enumerate(TABLES.items()):
         columns = [F.base64(f.name).alias(f.name) if isinstance(f.dataType, T.BinaryType) else F.col(f.name) for f in T.StructType.fromDDL(ddl)]
-        rows = tables[name].orderBy(key).select(_line(f"{SCHEMA}/{name}", columns))
-        for row in rows.toLocalIterator(prefetchPartitions=True):
-            yield name, row[0]
+        least, most = tables[name].agg(F.min(key), F.max(key)).first()
+        cut = F.substring(key, 1, len(os.path.commonprefix([least or "", most or ""])) + RANGE)
+        parts.append(tables[name].select(F.lit(number).alias("number"), F.lit(name).alias("name"), F.col(key).alias("key"), cut.alias("cut"), _line(f"{SCHEMA}/{name}", columns).alias("line")))
+    rows = reduce(DataFrame.unionByName, parts)
+    before = Window.orderBy("number", "cut").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("number", "cut").agg(F.count("*").alias("n")).select("number", "cut", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = Window.partitionBy("number", "cut").orderBy("key")
+    return rows.join(starts, ["number", "cut"]).select((F.col("start") + F.row_number().over(own)).alias("position"), "name", "key", "line")
+
+
+def _lines(tables: dict[str, DataFrame]) -> Iterator[tuple[str, str]]:
+    for row in stream(tables).orderBy("position").select("name", "line").toLocalIterator(prefetchPartitions=True):
+        yield row[0], row[1]
 
 
 def export(tables: dict[str, DataFrame], path: str) -> dict[str, int]:

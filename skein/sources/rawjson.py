@@ -7,9 +7,14 @@ stay as it was written, so objects are cut here by the positions at which the de
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
 
 def _no_constant(name: str) -> Any:
     raise ValueError(f"{name} is not JSON")
@@ -99,3 +104,17 @@ def boolean(found: dict[str, Member], name: str) -> bool | None:
 def object_(found: dict[str, Member], name: str) -> dict[str, Member]:
     """The members of a member that must be an object if it is there."""
     return members(found[name].raw) if name in found else {}
+
+
+def member_texts(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """``rows`` with a string column for each of ``names``: the exact text of that member of the object in ``column``, or null."""
+    columns = rows.columns
+    at = columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [members(t) if t is not None else {} for t in batch.column(at).to_pylist()]
+            made = [pa.array([f[n].raw if n in f else None for f in found], pa.string()) for n in names]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*columns, *names])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(n, T.StringType()) for n in names)]))

@@ -44,5 +44,16 @@ def test_commands(spark, homes, capsys, tmp_path):
     assert (status["session"], status["document"], status["behind"]["added"]) == (2, 2, 0)
     assert run("export", str(tmp_path / "state"))[1] == [{"snapshot": 2, "checkpoint": 2}]
     assert run("reclaim")[1] == [{"generations": []}]
+    assert run("doctor") == (0, run("doctor")[1]) and {r["status"] for r in run("doctor")[1]} == {"ok"}
+    found = run("sources")[1]
+    assert [(r["harness"], r["kind"], r["status"]) for r in found[:2]] == [("claude", "canonical", "available"), ("claude", "auxiliary", "missing")]
+    assert [(r["status"], r["diagnostics"]) for r in found if r["harness"] == "codex"] == [("available", ["codex_root_missing: archived_sessions"])]
+    assert main([*homes, "dump", rows[0]["session"]], spark) == 0
+    dumped = json.loads(capsys.readouterr().out)
+    assert dumped["schema"] == "skein.session/v1" and [r["kind"] for r in dumped["records"]] == ["unknown", "message"]
+    claim = {"harness": "codex", "pid": 1, "started_at": "x", "native_id": UUID + "1", "certainty": "probable", "evidence": ["open file"]}
+    (tmp_path / "claims").write_text(json.dumps(claim) + "\n")
+    assert [(r["harness"], r["certainty"]) for r in run("current", str(tmp_path / "claims"))[1]] == [("codex", "probable")]
+    assert run("current", str(tmp_path / "claims"), "--exact")[1] == []
     with pytest.raises(SystemExit):
         main(["search", "x"], spark)

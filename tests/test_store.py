@@ -59,7 +59,11 @@ def test_catalog(spark, tmp_path):
     write(codex, 4, []).write_text('{"type": "session_meta", "payload": {"id": "x"}}\n{broken\n')
     assert store.behind(homes) == {"added": 2, "removed": 0, "changed": 1}
     assert store.scan(homes)["failed"] == 2
-    assert store.changes() == {"rewritten": 1, "unchanged": 2}
+    assert store.changes() == {"rewritten": 1, "unchanged": 2, "failed": 2}
+    # A broken container is not read again before it changes.
+    batches = len(store._names("tables/event"))
+    assert store.scan(homes) == {"reused": 3, "read": 0, "rows": 0, "failed": 0} and len(store._names("tables/event")) == batches
+    assert store.changes() == {"unchanged": 5}
     assert store.export(str(tmp_path / "state")) == {"snapshot": 3, "checkpoint": 3}
     other = Catalog(spark, f"file://{tmp_path}/other")
     other.import_state(str(tmp_path / "state"))
@@ -72,6 +76,51 @@ def test_catalog(spark, tmp_path):
     ids = [r.doc_id for r in store.table("document").collect()]
     assert sorted(ids) == list(range(1, len(ids) + 1))
     before = sorted(r.body for r in store.eligible("document").collect())
-    assert store.reclaim() == [1, 2] and store.reclaim() == []
+    assert [(g["number"], g["state"]) for g in store.generations()] == [(1, "superseded"), (2, "superseded"), (3, "superseded"), (4, "active")]
+    assert {r["status"] for r in store.doctor()} == {"ok", "warning"}
+    assert store.reclaim() == [1, 2, 3] and store.reclaim() == []
+    assert {r["status"] for r in store.doctor()} == {"ok"}
     assert sorted(r.body for r in store.eligible("document").collect()) == before
     assert store.scan(homes)["reused"] == 3
+    (codex / f"sessions/2026/03/01/rollout-2026-03-01T10-11-12-{UUID}1.jsonl").unlink()
+    store.scan(homes)
+    gone = {r.path.rsplit("-", 1)[-1]: r for r in store.identities().collect()}
+    assert [n for n, r in gone.items() if r.disappeared_at] == ["000000000001.jsonl"] and all(r.first_seen <= r.last_seen for r in gone.values())
+
+
+def test_one_writer_at_a_time(spark, tmp_path, monkeypatch):
+    from skein.plans import store as module
+
+    write(tmp_path / "codex", 1, [turn("user", "one")])
+    homes = {"codex": str(tmp_path / "codex")}
+    first, second = (Catalog(spark, f"file://{tmp_path}/catalog") for _ in range(2))
+    first.scan(homes)
+    with first.writer() as token:
+        with pytest.raises(module.LeaseLost):
+            second.scan(homes)
+        with pytest.raises(module.LeaseLost):
+            second.reclaim()
+        # A lease that its holder lets expire is taken over; the holder can't publish any more, and nothing is harmed.
+        monkeypatch.setattr(module, "LEASE", -1)
+        write(tmp_path / "codex", 2, [turn("user", "two")])
+        assert second.scan(homes)["read"] == 1
+        with pytest.raises(module.LeaseLost):
+            first._publish(second.generation() + 1, 1, token)
+    assert first.generation() == 2 and first.counts()["document"] == 2
+    # What a writer that died has left counts as failed, and goes with the next sweep.
+    first._derive("event", 77, first.table("event").drop("batch"))
+    first.spark.range(1).write.parquet(f"file://{tmp_path}/catalog/generation/77/member")
+    assert [g["state"] for g in first.generations()] == ["superseded", "active", "failed"]
+    assert first.reclaim() == [1] and first.counts()["document"] == 2
+    assert not first._exists("tables/event/batch=77") and not first._exists("generation/77")
+
+
+def test_stored_indexes_narrow_a_search(spark, tmp_path):
+    write(tmp_path / "codex", 1, [turn("user", f"text {k} of many") for k in range(40)])
+    store = Catalog(spark, f"file://{tmp_path}/catalog")
+    store.scan({"codex": str(tmp_path / "codex")})
+    assert [r.body for r in store.search("t 17 o").collect()] == ["text 17 of many"]
+    assert [r.rank for r in store.search("text", "lexical", 5).collect()] == [1, 2, 3, 4, 5]
+    assert store.search("no such thing", "lexical").count() == 0
+    rows = store.table("trigram").where("trigram = ' 17'").collect()
+    assert len(rows) == 1
