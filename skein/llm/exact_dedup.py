@@ -66,9 +66,12 @@ def dedup(docs: DataFrame, index: DigestIndex, batch: str | None = None, id_col:
 
     Returns one row per input row: doc_id, keep_id, group_size (rows of this batch with the same
     normalised text), kept, text_sha256, known (the index held the text before this batch).
+
+    ``batch`` names the batch in the index; each call is a batch of its own. Only a caller that repeats
+    a call that failed half-way gives the name of the first attempt, whose rows then count as new.
     """
-    spark = index.spark
-    work = Workspace(spark, "exact")
+    batch = batch or uuid.uuid4().hex
+    work = Workspace(index.spark, "exact")
     text = F.col(text_col)
     keys = work.put(
         docs.select(

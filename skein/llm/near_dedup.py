@@ -10,7 +10,16 @@ the Jaccard similarity of the two sets reaches the bound. Linked documents form
 
 Sets are of distinct shingles, each taken for its 64-bit hash.
 
-Defined results: as in ``simhash``.
+Defined results
+    null or blank text   the empty set; all such rows form one group
+    fewer words than a shingle   the whole sequence is the one shingle
+    null doc_id          takes part; its row stays only if its group has no row with an id
+    equal ids            rows of one id and different texts are documents of their own
+    repeated rows        rows with equal id and text are one document: all of them stay, or none
+    ties                 the row of least id stays, of rows without one that of least hash
+    very long texts      hashed whole; a tree holds a bounded number of shingles, or one such text
+    empty table          empty result
+    extra columns        kept by ``keep_one``, ignored by ``groups``
 """
 
 from __future__ import annotations
@@ -20,13 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.components import components
 from skein.llm.simhash import BKTree
 from skein.llm.storage import Workspace, tidy
-from skein.llm.windows import mix
+from skein.llm.windows import mix, run_hashes, word_tokens
 
 WORDS, SIMILARITY = 5, 0.8
 SHARDS, RADIUS, WIDE = 8, 26, 8
@@ -39,18 +48,11 @@ _SALTS = mix(np.arange(1, 2 * SHARDS + WIDE + 1, dtype=_U))
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The hashes of the distinct word shingles of ``text``, in order; A-Z count as a-z."""
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
+    """The 64-bit hashes of the distinct word shingles of ``text``, in order; A-Z count as a-z."""
+    tokens = word_tokens((text or "").encode().lower())
+    if not len(tokens):
         return np.empty(0, _U)
-    width, joined = min(words, len(tokens)), b" ".join(tokens)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n, digest = len(tokens) - width + 1, xxhash.xxh64_intdigest
-    made = np.empty(n, _U)
-    for at in range(0, n, 1 << 13):
-        cut = slice(at, min(n, at + (1 << 13)))
-        made[cut] = [digest(joined[a:b]) for a, b in zip(starts[cut].tolist(), ends[width - 1 :][cut].tolist())]
+    (made,) = run_hashes(tokens, (min(words, len(tokens)),))
     return np.unique(made)
 
 
@@ -158,8 +160,18 @@ def _by_tree(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tu
 _ROW = "shard long, i int, j int, node long, wide binary, n long, role int, number int, keys array<long>"
 
 
+def _row(docs: DataFrame) -> Column:
+    """What tells a row of ``docs`` from rows of another id or text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, group): the least doc_id among the documents linked to this one; null ids are left out."""
+    """(doc_id, group): the least doc_id among the documents linked to this one."""
+    return _groups(docs, words, least).select("doc_id", F.col("first.doc_id").alias("group"))
+
+
+def _groups(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """(doc_id, of, first) of every row: its row hash, and the id and row hash of the first row linked to it."""
     work = Workspace(docs.sparkSession, "near")
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,12 +181,11 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
             arrays = [batch.column(0), batch.column(1), pa.array(map(node_of, sets), pa.int64()), pa.array(wide, pa.binary()), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "of", "node", "wide", "n", "keys"])
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    cols = cols.select("doc_id", F.xxhash64("doc_id", "text").alias("of"), "text")
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row(docs).alias("of"), F.col("text").cast("string").alias("text"))
     marked = work.put(cols.mapInArrow(tidy(sketches), "doc_id long, of long, node long, wide binary, n long, keys array<long>"), "sketches")
     # Equal sets are one node: a group of copies counts once however large it is.
     first = [F.first(c).alias(c) for c in ("wide", "n", "keys")]
-    nodes = work.put(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("of").alias("of"), *first), "nodes")
+    nodes = work.put(marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "of")).alias("least"), F.min("of").alias("of"), *first), "nodes")
     rows = nodes.select("node", "wide", "n", "keys", F.posexplode("keys").alias("number", "key")).withColumn("shard", F.xxhash64("number", "key"))
     trees = F.ceil(F.greatest(F.col("count") / TREE, F.col("shingles") / SHINGLES)).cast("int")
     sizes = rows.groupBy("shard").agg(F.count("*").alias("count"), F.sum("n").alias("shingles")).where(F.col("count") > 1)
@@ -222,13 +233,14 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
     work.drop("candidates", "sets", "needed")
     named = nodes.select("node", "least").join(found.withColumnRenamed("u", "node").hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = work.put(named, "named")
-    group = named.groupBy("root").agg(F.min("least").alias("group"))
-    named = work.put(named.join(group.hint("merge"), "root").select("node", "group"), "classes")
-    return marked.select("doc_id", "node").join(named.hint("merge"), "node").select("doc_id", "group")
+    group = named.groupBy("root").agg(F.min("least").alias("first"))
+    named = work.put(named.join(group.hint("merge"), "root").select("node", "first"), "classes")
+    return marked.select("doc_id", "of", "node").join(named.hint("merge"), "node").select("doc_id", "of", "first")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each group, that of least doc_id; rows without an id stay. All columns."""
+    """``docs`` with one document of each group, that of least doc_id. All columns."""
     work = Workspace(docs.sparkSession, "kept")
-    gone = work.put(groups(docs, words, least).where("doc_id <> group").select("doc_id").distinct(), "gone")
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    gone = work.put(_groups(docs, words, least).where(F.col("of") != F.col("first.of")).select(F.col("of").alias("_skein_of")).distinct(), "gone")
+    rows = docs.withColumn("_skein_row", _row(docs))
+    return rows.join(gone.hint("shuffle_hash"), F.col("_skein_row") == F.col("_skein_of"), "left_anti").select(*docs.columns)

@@ -76,6 +76,7 @@ def compared(texts: DataFrame, hits: DataFrame, spec: Spec, work: Workspace, res
     place = F.struct("doc", "mark", "start")
     known = hits.groupBy("key", "dig").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "mark", "start", "n")).alias("at"))
     known = work.put(known.select("key", "dig", "copies", "at.*"), "classes")
+    work.release()
     sizes = known.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / classes).cast("int").alias("parts"))
     sizes = work.put(sizes, "sizes")
     wanted = (
@@ -83,6 +84,9 @@ def compared(texts: DataFrame, hits: DataFrame, spec: Spec, work: Workspace, res
         .groupBy("doc", "mark")
         .agg(F.collect_list(F.struct("start", "n", "key", "dig", "copies", "parts")).alias("wanted"))
     )
+    # Staged, so that the shuffles behind it are gone before the texts move.
+    wanted = work.put(wanted, "wanted")
+    work.release()
     names = ["key", "part", "parts", "dig", "copies", "doc", "mark", "start", "n", "content"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
@@ -109,7 +113,7 @@ def compared(texts: DataFrame, hits: DataFrame, spec: Spec, work: Workspace, res
     masks = masks.groupBy("key", "dig").agg(F.bit_or("mask").alias("mask"))
     out = known.join(masks.hint("merge"), ["key", "dig"], "left").select("key", "dig", "copies", place.alias("lead"), F.coalesce("mask", F.lit(0)).alias("mask"))
     out = work.put(out, "decided")
-    work.drop("classes", "sizes", "judged")
+    work.drop("classes", "sizes", "wanted", "judged")
     work.release()
     return out
 

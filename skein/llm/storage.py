@@ -20,9 +20,11 @@ _CONF = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of this session, without a trailing slash."""
+    """The shared folder of this session, without a trailing slash; an error on a cluster that names none."""
     root = spark.conf.get(_CONF, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"set {_CONF} to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set(_CONF, root)
     return root.rstrip("/")

@@ -49,7 +49,8 @@ def test_exact(spark):
         assert (r.keep_id, r.group_size) == (min(members)[3], len(members))
     for digest in groups:
         assert sum(r.kept for r in found if r.text_sha256 == digest) == 1
-    again = exact_dedup.dedup(docs(spark, [(900, "a  b"), (901, "new"), (902, "n ew")]), index, batch="1").collect()
+    # A later call is a batch of its own, without being told so.
+    again = exact_dedup.dedup(docs(spark, [(900, "a  b"), (901, "new"), (902, "n ew")]), index).collect()
     assert {r.doc_id: (r.kept, r.known) for r in again} == {900: (False, True), 901: (False, False), 902: (True, False)}
     assert {r.keep_id for r in again if r.doc_id != 900} == {902}
     assert index.rows().count() == len(groups) + 1
@@ -61,6 +62,14 @@ def test_exact_keeps_one_row_with_its_columns(spark):
     kept = exact_dedup.keep_first(frame, index)
     assert kept.columns == frame.columns
     assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, "c"), (1, "a b")]
+    plain = docs(spark, [(1, "a  b"), (2, "ab"), (3, "a b c"), (None, "a\tbc"), (4, None)])
+    index = exact_dedup.DigestIndex(spark, Workspace(spark, "digests").path, buckets=4)
+    assert sorted((r.doc_id, r.text or "") for r in exact_dedup.keep_first(plain, index).collect()) == [(1, "a  b"), (3, "a b c"), (4, "")]
+    # A repeated call of one name gives what the first attempt gave.
+    assert exact_dedup.dedup(plain, index, "retry").where("kept").count() == 0
+    other = docs(spark, [(7, "only"), (8, "on ly")])
+    first, second = (sorted((r.doc_id, r.kept) for r in exact_dedup.dedup(other, index, "retry").collect()) for _ in range(2))
+    assert first == second == [(7, False), (8, True)]
 
 
 def test_exact_of_nothing(spark):

@@ -286,3 +286,56 @@ def test_pipeline(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in found)
     assert len({"".join(t.split()) for t in texts.values()}) == len(texts)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage's rows from its definition, on tables of every awkward case; nothing is taken from the stages."""
+    tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+    from test_dedup import brute_groups
+
+    draw = random.Random(17)
+    vocabulary = {x: ["".join(draw.choice(letters) for _ in range(draw.randint(2, 8))) for _ in range(150)] for x, letters in (("en", "abcdeth"), ("fr", "éàçoui"))}
+    say = lambda lang, n: " ".join(draw.choice(vocabulary[lang]) for _ in range(n))
+    items = [(k, f"{say('en', 25)}? {say('en', 3)}") for k in range(6)]
+    rows = [(k, say("en" if k % 2 else "fr", draw.randint(1, 120)), "en" if k % 2 else "fr") for k in range(80)]
+    rows += [(100, None, "en"), (101, "", None), (102, "12 34!", "fr"), (103, rows[5][1] + "  ", "en"), (104, rows[5][1].replace(" ", "\n"), "en"), (105, rows[6][1], "fr")]
+    rows += [(110 + k, f"{say('en', 40)} {items[k][1]} {say('en', 40)}", "en") for k in range(4)]
+    long = say("en", 200).split()
+    for k in range(4):
+        long[40 * k + 9] = "changed"
+        rows.append((120 + k, " ".join(long), "en"))
+    rows += [(None, say("fr", 30), None), (130, say("en", 6000), "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = [(d, t) for d, t, _ in rows if t and any(c.isalpha() for c in t)]
+    best = {}
+    for d, t in left:
+        best.setdefault("".join(t.split()), []).append((-len(t), d is None, d or 0, d, t))
+    left = [min(x)[3:] for x in best.values()]
+    group = brute_groups([(d if d is not None else 10**9, t) for d, t in left])
+    left = [(d, t) for d, t in left if group[d if d is not None else 10**9] == (d if d is not None else 10**9)]
+    held = {d for d, *_ in leaks([(d if d is not None else 10**9, t) for d, t in left], items)}
+    left = {d: t for d, t in left if (d if d is not None else 10**9) not in held}
+    assert {110, 111, 112, 113} <= held and 121 not in left and 105 not in left and None in left
+
+    with open(tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(file.read()), special_tokens={})
+    found = {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert found == {d: (library.encode_ordinary(t), hashlib.sha256(t.encode()).hexdigest()) for d, t in left.items()}
+
+
+def test_many_languages_are_all_learned():
+    code = language_id.codewords(700)
+    assert code.shape[0] == 700 and len({tuple(x) for x in code}) == 700
+    texts, labels = [], []
+    draw = random.Random(18)
+    for k in range(60):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(40)]
+        texts += ["".join(draw.choice(letters) for _ in range(60)) for _ in range(6)]
+        labels += [f"l{k:02}"] * 6
+    packed = [language_id.Rows.pack(language_id.features(t)) for t in texts]
+    model = language_id.fit(language_id.Rows(packed), labels, rounds=40)
+    assert len(model.languages) == 60
+    assert np.mean([x[0] == y for x, y in zip(model.predict(texts), labels)]) > 0.95
