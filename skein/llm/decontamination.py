@@ -89,11 +89,6 @@ class Shelf:
             most.append(max(x for _, x in rows))
         self.most, self.end = np.array(most), max(self.items) + 1
 
-    def slots(self, codes: np.ndarray) -> np.ndarray:
-        """The term of each code, or -1."""
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where(self.codes[at] == codes, at, -1)
-
     def retrieve(self, terms_: list[int], threshold: float) -> list[tuple[int, float]]:
         """All (item, score) with score at least ``threshold`` for a query of these terms, by block-max WAND."""
         threshold -= 1e-9
@@ -165,6 +160,14 @@ class Index:
             for t, score in raw.items():
                 shelf.setdefault(self._code(t), []).append((number, score / own))
         self.shelves = [Shelf(step, shelf) for step, shelf in sorted(shelves.items())]
+        #: The terms of all shelves; and for each shelf its own number of each of them, or -1, and that term's greatest impact, or 0.
+        self.codes = np.unique(np.concatenate([np.empty(0, np.int64), *[s.codes for s in self.shelves]]))
+        self.terms, self.bounds = [], []
+        for shelf in self.shelves:
+            at, own = np.searchsorted(self.codes, shelf.codes), np.full(len(self.codes), -1)
+            own[at] = np.arange(len(at))
+            self.terms.append(own)
+            self.bounds.append(np.where(own >= 0, shelf.most[own], 0.0))
 
     def _code(self, term: tuple[str, ...]) -> int:
         return self.vocabulary[term[0]] * self.width + (self.vocabulary[term[1]] if len(term) > 1 else self.width - 1)
@@ -178,29 +181,43 @@ class Index:
         tokens = words(text)
         get, unknown = self.vocabulary.get, self.width - 2
         ids = np.fromiter((get(w, unknown) for w in tokens), np.int64, len(tokens))
-        if not len(ids):
+        if not len(ids) or not len(self.codes):
             return []
         pairs = np.append(ids[:-1] * self.width + ids[1:], -1)
         alone = ids * self.width + self.width - 1
+        place, term = self._known(pairs)
+        if self.single:
+            # A word by itself ends where it begins, a pair one word later.
+            more, other = self._known(alone)
+            place, term = np.concatenate((place, more)), np.concatenate((term, other))
+            order = np.argsort(place, kind="stable")
+            place, term = place[order], term[order]
         best: dict[int, tuple[int, float, int, float, float]] = {}
-        for shelf in self.shelves:
-            step, slots = shelf.step, [shelf.slots(pairs)]
-            if self.single and step == 1:
-                slots.append(shelf.slots(alone))
-            bound = sum(np.where(s >= 0, shelf.most[s], 0.0) for s in slots)
-            total = np.concatenate(([0.0], np.cumsum(bound)))
+        for shelf, own, bounds in zip(self.shelves, self.terms, self.bounds) if len(place) else ():
+            bound = bounds[term]
+            here = bound > 0
+            if not here.any():
+                continue
+            step, at, slot = shelf.step, place[here], own[term[here]]
+            total = np.concatenate(([0.0], np.cumsum(bound[here])))
             begin = np.arange(0, max(1, len(tokens) - 2 * step), step)
-            ends = np.minimum(begin + 3 * step, len(tokens))
+            # The pair of a passage's last word is cut by its end; a word by itself is not.
+            ends = np.minimum(begin + 3 * step, len(tokens)) - (step > 1)
+            low, high = np.searchsorted(at, begin), np.searchsorted(at, ends)
             # A passage whose terms' bounds do not add up to the threshold has no pivot: WAND ends at once.
-            for k in np.flatnonzero(total[ends] - total[begin] >= THRESHOLD - 1e-6).tolist():
-                first, end = int(begin[k]), int(ends[k])
-                # The pair of the last word is cut by the passage's end.
-                held = np.concatenate([slots[0][first : end - 1], *[s[first:end] for s in slots[1:]]])
-                for item, score in shelf.retrieve(np.unique(held[held >= 0]).tolist(), THRESHOLD):
+            for k in np.flatnonzero(total[high] - total[low] >= THRESHOLD - 1e-6).tolist():
+                first, end = int(begin[k]), int(ends[k]) + (step > 1)
+                for item, score in shelf.retrieve(np.unique(slot[low[k] : high[k]]).tolist(), THRESHOLD):
                     if score > best.get(item, (0, -1.0))[1] and (overlap := self._overlap(item, pairs[first : end - 1], alone[first:end], ids[first:end])):
                         best[item] = (self.ids[item], score, first, *overlap)
         return [best[k] for k in sorted(best)]
 
+    def _known(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of ``codes`` that are terms of the index, and which."""
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        place = np.flatnonzero(self.codes[at] == codes)
+        return place, at[place]
+
     def _overlap(self, item: int, pairs: np.ndarray, alone: np.ndarray, ids: np.ndarray) -> tuple[float, float] | None:
         """The best shares of question and answer that stand together within the item's span, if they suffice."""
         asked, answered = self.question[item], self.answer[item]
