@@ -68,6 +68,12 @@ def missing(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(known.select(*keys), keys, "left_anti")
 
 
+def unreclaimed(generations: DataFrame, rows: DataFrame, active: int) -> DataFrame:
+    """(generation, state, rows): failed and superseded ``generations`` that still hold ``rows``; never the active one."""
+    held = rows.groupBy("generation").agg(F.count("*").alias("rows"))
+    return generations.where(F.col("state").isin("failed", "superseded") & (F.col("generation") != active)).join(held, "generation")
+
+
 def tombstoned(rows: DataFrame, seen: DataFrame, key: str, when: Column, failed: bool = False) -> DataFrame:
     """``rows`` with ``disappeared_at`` set where it is null and the key was not seen; unchanged if any source failed."""
     if failed:

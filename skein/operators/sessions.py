@@ -53,10 +53,3 @@ def relative_time(text: str, now: datetime) -> datetime:
     if out.tzinfo is None:
         raise ValueError(f"{text}: no time zone")
     return out
-
-
-def presence(claims: DataFrame, keys: list[str], process: str, exact: Column, only_exact: bool = False) -> DataFrame:
-    """(keys, processes, exact): the processes that claim each session, and whether any claim is exact."""
-    if only_exact:
-        claims = claims.where(exact)
-    return claims.groupBy(*keys).agg(F.count_distinct(process).alias("processes"), F.bool_or(exact).alias("exact"))

@@ -446,3 +446,58 @@ def event_violations(spark, sf_dir):
 def json_envelope(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"))
     return records.envelope(rows, "s/v1", "p", ["key"])
+
+
+_FORK = f"""'{{"type":"session_meta","payload":{{"id":"' || {_UUID} || '","forked_from_id":"' || CASE WHEN conv_id % 3 = 1 THEN '20000000-0000-4000-8000-' || lpad(cast(conv_id - 1 AS STRING), 12, '0') ELSE 'gone' END || '"}}}}'"""
+
+
+@query(
+    f"WITH {_named_sql('codex', _CODEX_PATH)}, h AS (SELECT n.*, {_id('observation', 'session', chr(39) + '1' + chr(39), f'sha256({_FORK} || chr(10))')} AS observation FROM n) "
+    f"SELECT c.session AS from_ref, p.session AS to_ref, {_id('relation', 'c.occurrence', chr(39) + 'branch_parent' + chr(39), chr(39) + 'session' + chr(39), 'c.session', chr(39) + 'session' + chr(39), 'p.session', 'c.observation')} AS relation "
+    "FROM h c JOIN h p ON p.conv_id = c.conv_id - 1 WHERE c.conv_id % 3 = 1"
+)
+def session_forks(spark, sf_dir):
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    files = ids.select("conv_id", F.concat(F.lit(f"{HOME}/"), F.expr(_CODEX_PATH)).alias("path"), F.expr(f"{_FORK} || chr(10)").cast("binary").alias("content"))
+    files = files.withColumns({"length": F.octet_length("content").cast("long"), "modificationTime": F.lit(None).cast("timestamp")})
+    framed = framing.records(files)
+    named = codex.sessions(framed, codex.discover(files, HOME))
+    events = codex.events(framed.join(named.select("path", "session"), "path"))
+    return projection.session_forks(named, events).select("from_ref", "to_ref", "relation")
+
+
+_AGENT = f"'projects/-w/' || {_UUID} || '/subagents/agent-a' || cast(conv_id AS STRING) || '.jsonl'"
+_SIDECAR = """CASE WHEN conv_id % 10 = 9 THEN '[1]' ELSE '{"agentType":"t","model":"m' || cast(conv_id AS STRING) || '","toolUseId":"","parentAgentId":"a' || cast(conv_id - 1 AS STRING) || '"}' END"""
+
+
+@query(
+    f"WITH o AS (SELECT conv_id, replace({_AGENT}, '.jsonl', '.meta.json') AS beside, {_SIDECAR} AS content, "
+    f"{_id('occurrence', _id('source', chr(39) + 'claude' + chr(39), chr(39) + HOME + chr(39)), chr(39) + HOME + chr(39), _AGENT)} AS occurrence FROM (SELECT DISTINCT conv_id FROM conversations)), "
+    f"s AS (SELECT *, {_id('session', 'occurrence', chr(39) + 'a' + chr(39) + ' || conv_id')} AS session FROM o WHERE conv_id % 4 <> 0) "
+    f"SELECT session, beside AS relative, {_id('observation', 'session', chr(39) + 'meta' + chr(39), 'beside', 'sha256(content)')} AS observation, CASE WHEN conv_id % 10 = 9 THEN '' ELSE 'm' || conv_id END AS model, "
+    "CASE WHEN conv_id % 10 = 9 THEN '' ELSE 'a' || (conv_id - 1) END AS parent_agent, CASE WHEN conv_id % 10 = 9 THEN 'not a JSON object' ELSE '' END AS error FROM s"
+)
+def sidecar_observations(spark, sf_dir):
+    # A quarter of the agents has no metadata.
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    blank = {"length": F.lit(1), "modificationTime": F.lit(None).cast("timestamp")}
+    found = claude.discover(ids.select(F.concat(F.lit(f"{HOME}/"), F.expr(_AGENT)).alias("path")).withColumns(blank), HOME)
+    beside = ids.where("conv_id % 4 <> 0").select(F.concat(F.lit(f"{HOME}/"), F.replace(F.expr(_AGENT), F.lit(".jsonl"), F.lit(".meta.json"))).alias("path"), F.expr(_SIDECAR).cast("binary").alias("content"))
+    return claude.sidecars(beside, found, HOME).select("session", "relative", "observation", *[F.coalesce(c, F.lit("")).alias(c) for c in ("model", "parent_agent", "error")])
+
+
+@query(
+    "SELECT conv_id, turn, ref AS reference, CASE WHEN conv_id % 2 = 0 THEN 'external_payload' ELSE 'missing_external_payload' END AS limitation FROM "
+    "(SELECT conv_id, turn, unnest(['out/' || conv_id || '.txt', '/abs/' || conv_id || '.txt']) AS ref FROM conversations WHERE role = 'user')"
+)
+def external_payloads(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    line = """'{"type":"user","message":{"role":"user","content":[{"type":"tool_result","tool_use_id":"t","content":"x","persistedOutputPath":"out/' || cast(conv_id AS STRING)
+        || '.txt"}]},"toolUseResult":{"persistedOutputPath":"/abs/' || cast(conv_id AS STRING) || '.txt"}}'"""
+    named = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    rows = turns.select(named.alias("session"), F.lit(1).cast("long").alias("record"), F.expr(line).cast("binary").alias("data"), F.lit("d").alias("sha256"))
+    paths = F.array(F.concat(F.lit(f"{HOME}/out/"), F.col("conv_id").cast("string"), F.lit(".txt")), F.concat(F.lit("/abs/"), F.col("conv_id").cast("string"), F.lit(".txt")))
+    present = turns.where("conv_id % 2 = 0").select(F.explode(paths).alias("path"))
+    found = claude.payloads(claude.events(rows), present, HOME)
+    of = F.split("session", "/")
+    return found.select(of[0].cast("long").alias("conv_id"), of[1].cast("long").alias("turn"), "reference", "limitation")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import identity, text
-from skein.operators import catalog, passages
+from skein.operators import catalog, passages, records
 
 PROJECTION_VERSION = "v1"
 _RELATION = ["session", "relation", "kind", "origin", "from_kind", "from_ref", "to_kind", "to_ref", "observation"]
@@ -45,6 +45,16 @@ def fork_relations(events: DataFrame) -> DataFrame:
     return _relation(rows, "branch_parent", "native", ("session", F.col("session")), ("native_record", F.col("fork_key")), F.col("observation"))
 
 
+def session_forks(sessions: DataFrame, events: DataFrame) -> DataFrame:
+    """A relation to the session that a session's header says it was forked from, if its source has one session of that name.
+
+    ``sessions`` has source, session, occurrence, native_id and fork_of; the header is the evidence.
+    """
+    parents = records.fork_parents(sessions.select("source", "session", "occurrence", "native_id", "fork_of")).where("parent is not null")
+    heads = events.where("record = 1 and event_index = 0").select("session", "observation")
+    return _relation(parents.join(heads, "session"), "branch_parent", "native", ("session", F.col("session")), ("session", F.col("parent")), F.col("observation"))
+
+
 def relations(events: DataFrame) -> DataFrame:
     """All relations of ``events``, which also have their session's occurrence."""
     return tool_relations(events).unionByName(reply_relations(events)).unionByName(fork_relations(events)).select(*_RELATION)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import identity, text
@@ -216,7 +216,26 @@ def passage_body(spark, sf_dir):
     return made.select("conv_id", "passage", F.sha2("body", 256).alias("body_sha256"))
 
 
-@query()
+_BYTE = "hex(array_slice(data, {0} + 1, {0} + 1)) BETWEEN '80' AND 'BF'"
+
+
+def _stop_sql(at: str, most: int = 4096) -> str:
+    """Where the part that begins at byte ``at`` ends: at the last line end within reach, else between two code points."""
+    back = " ".join(f"WHEN NOT ({_BYTE.format(f'({at} + {most - k})')}) THEN {k}" for k in range(3))
+    return (
+        f"CASE WHEN size <= {most} THEN size ELSE coalesce(list_max(list_filter(stops, lambda s: s > {at} AND s <= {at} + {most})), {at} + {most} - CASE {back} ELSE 3 END) END"
+    )
+
+
+@query(
+    "WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), "
+    "x AS (SELECT doc_id, cast(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop FROM l), "
+    "g AS (SELECT doc_id, list(stop) AS stops FROM x GROUP BY doc_id), "
+    "d AS (SELECT doc_id, encode(text) AS data, strlen(text) AS size, list_transform(stops, lambda s: least(s, strlen(text))) AS stops FROM documents JOIN g USING (doc_id)), "
+    f"p AS (SELECT doc_id, 0 AS part, 0::BIGINT AS start, {_stop_sql('0')} AS stop FROM d UNION ALL "
+    f"SELECT p.doc_id, part + 1, p.stop, {_stop_sql('p.stop')} FROM p JOIN d USING (doc_id) WHERE p.stop < size) "
+    "SELECT doc_id, part, count(*) OVER (PARTITION BY doc_id) AS parts, stop - start AS bytes FROM p"
+)
 def split_parts_count(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
     return text.split_bodies(docs, 4096).select("doc_id", "part", "parts", F.octet_length("body").alias("bytes"))
@@ -251,11 +270,6 @@ def derived_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", made.alias("id"))
 
 
-@query("SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1")
-def blob_dedup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-
-
 # --- catalog --------------------------------------------------------------------------------------
 
 
@@ -307,24 +321,30 @@ def tool_pairs(spark, sf_dir):
     return catalog.tool_pairs(events, ["user_id", "k"], F.col("event_type") == "click", F.col("event_type") == "view", "event_id")
 
 
-@query("SELECT count(*) AS unreclaimed FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)")
+@query(
+    "SELECT n_nationkey AS generation, CASE WHEN n_regionkey = 0 THEN 'failed' ELSE 'superseded' END AS state, count(*) AS rows FROM nation JOIN customer ON c_nationkey = n_nationkey "
+    "WHERE n_regionkey IN (0, 1) AND n_nationkey <> 1 GROUP BY ALL"
+)
 def unreclaimed_generations(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "P"))
-    active = table(spark, sf_dir, "customer").where("c_nationkey = 7").select(F.col("c_custkey").alias("o_custkey"))
-    return catalog.missing(orders, active, ["o_custkey"]).agg(F.count("*").alias("unreclaimed"))
+    state = F.when(F.col("n_regionkey") == 0, "failed").when(F.col("n_regionkey") == 1, "superseded").otherwise("building")
+    generations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("generation"), state.alias("state"))
+    return catalog.unreclaimed(generations, table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("generation")), 1)
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def orphans(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return catalog.missing(table(spark, sf_dir, "customer").select("c_custkey"), orders, ["c_custkey"])
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 1 END AS disappeared_at FROM customer")
+@query(
+    "SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 7 WHEN c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 1 ELSE 0 END AS disappeared_at FROM customer"
+)
 def tombstones(spark, sf_dir):
-    known = table(spark, sf_dir, "customer").select("c_custkey", F.lit(None).cast("int").alias("disappeared_at"))
-    seen = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return catalog.tombstoned(known, seen, "c_custkey", F.lit(1))
+    # What was gone before keeps its time.
+    known = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_nationkey") == 3, 7).alias("disappeared_at"))
+    seen = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return catalog.tombstoned(known, seen, "c_custkey", F.lit(1)).select("c_custkey", F.coalesce("disappeared_at", F.lit(0)).alias("disappeared_at"))
 
 
 @query(
@@ -340,27 +360,29 @@ def freshness_behind(spark, sf_dir):
 
 @query(
     "WITH v AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN left(text, 40) WHEN doc_id % 7 = 2 THEN text || 'x' "
-    "WHEN doc_id % 7 = 3 THEN 'y' || text ELSE text END AS a, text AS b, doc_id % 7 = 4 AS moved FROM documents), "
+    "WHEN doc_id % 7 IN (3, 4) THEN 'y' || text ELSE text END AS a, text AS b, doc_id % 7 = 4 AS moved FROM documents), "
     "w AS (SELECT doc_id, encode(a) AS a, encode(b) AS b, moved FROM v) "
-    "SELECT doc_id, CASE WHEN a IS NULL THEN 'initial' WHEN sha256(a) = sha256(b) THEN 'unchanged' "
+    "SELECT doc_id, CASE WHEN a IS NULL THEN 'initial' WHEN sha256(a) = sha256(b) THEN 'unchanged' WHEN moved THEN 'replaced' "
     "WHEN octet_length(b) > octet_length(a) AND sha256(array_slice(b, 1, octet_length(a))) = sha256(a) THEN 'grown' "
     "WHEN octet_length(b) < octet_length(a) AND sha256(array_slice(a, 1, octet_length(b))) = sha256(b) THEN 'truncated' ELSE 'rewritten' END AS change_kind FROM w"
 )
 def change_classify(spark, sf_dir):
-    return _versions(spark, sf_dir).select("doc_id", catalog.change_kind(F.col("a"), F.col("b")).alias("change_kind"))
+    # A file of another identity in the same place.
+    moved = F.when(F.expr("doc_id % 7 = 4"), "j").otherwise("i")
+    return _versions(spark, sf_dir).select("doc_id", catalog.change_kind(F.col("a"), F.col("b"), F.lit("i"), moved).alias("change_kind"))
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text before (some unseen, cut, longer or different) and now."""
     old = F.expr(
-        "CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN left(text, 40) WHEN 2 THEN concat(text, 'x') WHEN 3 THEN concat('y', text) ELSE text END"
+        "CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN left(text, 40) WHEN 2 THEN concat(text, 'x') WHEN 3 THEN concat('y', text) WHEN 4 THEN concat('y', text) ELSE text END"
     )
     return table(spark, sf_dir, "documents").select("doc_id", old.cast("binary").alias("a"), F.col("text").cast("binary").alias("b"))
 
 
 @query(
-    "WITH v AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN left(text, 40) WHEN doc_id % 7 = 2 THEN text || 'x' WHEN doc_id % 7 = 3 THEN 'y' || text ELSE text END AS a, text AS b FROM documents) "
-    "SELECT CASE WHEN a IS NULL THEN 'initial' WHEN a = b THEN 'unchanged' WHEN starts_with(b, a) THEN 'grown' WHEN starts_with(a, b) THEN 'truncated' ELSE 'rewritten' END AS change_kind, count(*) AS n FROM v GROUP BY 1"
+    "WITH v AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN left(text, 40) WHEN doc_id % 7 = 2 THEN text || 'x' WHEN doc_id % 7 IN (3, 4) THEN 'y' || text ELSE text END AS a, text AS b, doc_id % 7 = 4 AS moved FROM documents) "
+    "SELECT CASE WHEN a IS NULL THEN 'initial' WHEN a = b THEN 'unchanged' WHEN moved THEN 'replaced' WHEN starts_with(b, a) THEN 'grown' WHEN starts_with(a, b) THEN 'truncated' ELSE 'rewritten' END AS change_kind, count(*) AS n FROM v GROUP BY 1"
 )
 def change_histogram(spark, sf_dir):
     return change_classify(spark, sf_dir).groupBy("change_kind").agg(F.count("*").alias("n"))
@@ -432,10 +454,12 @@ def activity_filter(spark, sf_dir):
     return sessions.activity_between(active, since, until, F.col("m")).select("user_id", F.unix_micros("m").alias("activity"))
 
 
-@query("SELECT doc_id, a FROM (SELECT doc_id, source, CASE WHEN n_chars % 4 <> 0 THEN n_chars END AS a FROM documents) ORDER BY a DESC NULLS LAST, source, doc_id LIMIT 50")
+@query("SELECT doc_id, coalesce(a, -1) AS a, row_number() OVER (ORDER BY a DESC NULLS LAST, source, doc_id) AS place FROM (SELECT doc_id, source, CASE WHEN n_chars % 4 <> 0 THEN n_chars END AS a FROM documents) ")
 def session_sort(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.expr("CASE WHEN n_chars % 4 <> 0 THEN n_chars END").alias("a"))
-    return sessions.listed(docs, "a", "source", "doc_id").limit(50).select("doc_id", "a")
+    found = sessions.listed(docs, "a", "source", "doc_id")
+    # The place of each row in the sorted output: all of them are listed.
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))).select("doc_id", F.coalesce("a", F.lit(-1)).alias("a"), "place")
 
 
 @query(
@@ -450,29 +474,3 @@ def title_precedence(spark, sf_dir):
 @query("SELECT url FROM pages WHERE starts_with(url, 'https://www') OR starts_with(string_split(url, ':')[-1], 'https://www')")
 def prefix_selector(spark, sf_dir):
     return sessions.selected(table(spark, sf_dir, "pages").select("url"), "https://www", "url")
-
-
-@query("SELECT event_type, cast(sum(cast(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_total, count(*) AS n FROM events GROUP BY 1")
-def usage_totals(spark, sf_dir):
-    k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("k_total"), F.count("*").alias("n"))
-
-
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_valid(props) AS valid FROM events")
-def json_extract(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.try_parse_json("props").isNotNull().alias("valid"))
-
-
-@query("SELECT user_id, event_type, count(DISTINCT event_id) AS processes, bool_or(value > 50) AS exact FROM events GROUP BY 1, 2")
-def presence_group(spark, sf_dir):
-    return sessions.presence(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id", F.col("value") > 50)
-
-
-@query(
-    "SELECT kind, key, sha256(body) AS row_sha256 FROM (SELECT 1 AS kind, c_custkey AS key, c_mktsegment AS body FROM customer UNION ALL "
-    "SELECT 2, o_orderkey, o_orderstatus FROM orders) ORDER BY kind, key"
-)
-def state_export_order(spark, sf_dir):
-    customer = table(spark, sf_dir, "customer").select(F.lit(1).alias("kind"), F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("body"))
-    orders = table(spark, sf_dir, "orders").select(F.lit(2).alias("kind"), F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("body"))
-    return customer.unionByName(orders).orderBy("kind", "key").select("kind", "key", F.sha2("body", 256).alias("row_sha256"))

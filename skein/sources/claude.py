@@ -44,6 +44,37 @@ def discover(files: DataFrame, config: str) -> DataFrame:
     return rows.withColumn("session", F.when(F.col("native_id").isNotNull(), identity.derived_id("session", F.col("occurrence"), F.col("native_id"))))
 
 
+def sidecars(files: DataFrame, found: DataFrame, config: str) -> DataFrame:
+    """(session, observation, relative, agent_type, model, parent_agent, call_id, sha256): the metadata beside an agent's transcript.
+
+    ``files`` has path and content. Such an observation comes before the records of its transcript; a
+    sidecar that is not an object is an error of its row.
+    """
+    relative = F.regexp_replace("path", "^.*?" + config.rstrip("/").replace(".", r"\.") + "/", "")
+    beside = files.select(relative.alias("beside"), "content").where(F.col("beside").endswith(".meta.json"))
+    agents = found.where("kind = 'agent'").select("session", F.regexp_replace("relative", r"\.jsonl$", ".meta.json").alias("beside"))
+    text, digest = F.col("content").cast("string"), F.sha2("content", 256)
+    field = lambda name: F.nullif(F.get_json_object(text, f"$.{name}"), F.lit(""))
+    whole = F.try_parse_json(text).isNotNull() & text.rlike(r"^\s*\{")
+    return agents.join(beside, "beside").select(
+        "session", identity.derived_id("observation", F.col("session"), "meta", F.col("beside"), digest).alias("observation"), F.col("beside").alias("relative"),
+        field("agentType").alias("agent_type"), field("model").alias("model"), field("parentAgentId").alias("parent_agent"), field("toolUseId").alias("call_id"),
+        digest.alias("sha256"), F.when(~F.coalesce(whole, F.lit(False)), "not a JSON object").alias("error"),
+    )
+
+
+def payloads(events: DataFrame, present: DataFrame, config: str) -> DataFrame:
+    """(session, observation, reference, limitation): the payloads outside the transcripts, present or missing.
+
+    ``present`` has the paths of the files that are there. A relative reference is one below ``config``.
+    """
+    rows = events.where(F.size("external") > 0).select("session", "observation", F.explode("external").alias("reference"))
+    place = F.when(F.col("reference").startswith("/"), F.col("reference")).otherwise(F.concat(F.lit(config.rstrip("/") + "/"), "reference"))
+    held = present.select(F.col("path").alias("place")).distinct().withColumn("held", F.lit(True))
+    both = rows.withColumn("place", place).join(held, "place", "left")
+    return both.select("session", "observation", "reference", F.when(F.col("held"), "external_payload").otherwise("missing_external_payload").alias("limitation"))
+
+
 class _Record:
     """Builds the events of one record in order."""
 

@@ -57,11 +57,15 @@ def discover(files: DataFrame, home: str) -> DataFrame:
 
 
 def sessions(records: DataFrame, found: DataFrame) -> DataFrame:
-    """``found`` with session, native_id of the header and started_at_raw: containers whose first record names a session."""
+    """``found`` with session, native_id of the header, started_at_raw and fork_of (the native id it was forked from, or null).
+
+    Only containers whose first record names a session.
+    """
     head = records.where("record = 1").select("path", F.col("data").cast("string").alias("head"))
     kind = F.coalesce(F.nullif(_text("$.type"), F.lit("")), F.nullif(_text("$.record_type"), F.lit("")), F.when(_text("$.id") != "", "session_meta"))
     native = F.coalesce(_text("$.payload.id"), _text("$.id"))
-    rows = head.where((kind == "session_meta") & (native != "")).select("path", native.alias("id"), _text("$.timestamp").alias("started_at_raw"))
+    fork = F.nullif(F.coalesce(_text("$.payload.forked_from_id"), _text("$.forked_from_id")), F.lit(""))
+    rows = head.where((kind == "session_meta") & (native != "")).select("path", native.alias("id"), _text("$.timestamp").alias("started_at_raw"), fork.alias("fork_of"))
     joined = found.drop("native_id").join(rows, "path").withColumnRenamed("id", "native_id")
     return joined.withColumn("session", identity.derived_id("session", F.col("occurrence"), F.col("native_id")))
 

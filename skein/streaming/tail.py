@@ -2,8 +2,8 @@
 
 The offset is, for each file, the end of its last complete record, the number of that record and the
 digest of all bytes before. A file is continued while those bytes are unchanged, and replayed from
-its start otherwise. The tail behind the last line feed waits. Files must be where every executor
-can open them.
+its start otherwise; a file whose size and time are as before is not opened at all. The tail behind the
+last line feed waits. Files must be where every executor can open them.
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ import hashlib
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from skein.sources.framing import frames
 
+#: Bytes that are read at a time.
+CHUNK = 1 << 20
 SCHEMA = "path string, replay long, record long, byte_start long, byte_end long, data binary"
 
 
@@ -34,16 +37,41 @@ class _Range(InputPartition):
 
 
 def _state(path: str, before: dict | None) -> dict:
-    """The offset of one file now, given what it was."""
-    with open(path, "rb") as file:
-        content = file.read()
+    """The offset of one file now, given what it was; a file whose size and time are as before is not opened."""
+    stat = os.stat(path)
+    stamp = [stat.st_size, stat.st_mtime_ns]
+    if before and before["stamp"] == stamp:
+        return before
     end, record, replay = (before["end"], before["record"], before["replay"]) if before else (0, 0, 0)
-    if before and (len(content) < end or hashlib.sha256(content[:end]).hexdigest() != before["prefix"]):
-        end, record, replay = 0, 0, replay + 1
-    stop = content.rfind(b"\n") + 1
-    record += content.count(b"\n", end, max(stop, end))
-    end = max(stop, end)
-    return {"end": end, "record": record, "replay": replay, "prefix": hashlib.sha256(content[:end]).hexdigest()}
+    with open(path, "rb") as file:
+        digest = hashlib.sha256()
+        for data in _chunks(file, end):
+            digest.update(data)
+        if before and (file.tell() < end or digest.hexdigest() != before["prefix"]):
+            file.seek(0)
+            end, record, replay, digest = 0, 0, replay + 1, hashlib.sha256()
+        prefix, at = digest.copy(), end
+        for data in _chunks(file, None):
+            stop = data.rfind(b"\n") + 1
+            if stop:
+                prefix = digest.copy()
+                prefix.update(data[:stop])
+                end, record = at + stop, record + data.count(b"\n")
+            digest.update(data)
+            at += len(data)
+    return {"end": end, "record": record, "replay": replay, "prefix": prefix.hexdigest(), "stamp": stamp}
+
+
+def _chunks(file: BinaryIO, most: int | None) -> Iterator[bytes]:
+    """The next ``most`` bytes of a file (all if none), a part at a time."""
+    left = most
+    while left is None or left > 0:
+        data = file.read(CHUNK if left is None else min(CHUNK, left))
+        if not data:
+            return
+        if left is not None:
+            left -= len(data)
+        yield data
 
 
 class TailReader(DataSourceStreamReader):
