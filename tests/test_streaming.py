@@ -41,3 +41,25 @@ def test_pairs_in_either_order_and_withdrawn(spark, tmp_path):
     assert drain([("s", "c", "tool_result", "r1"), ("s", "d", "tool_call", "k2"), ("s", "d", "tool_result", "r2"), ("t", "c", "message", "m")]) == [("s", "d", "k2", "r2", True)]
     assert drain([("s", "c", "tool_call", "k1"), ("t", "c", "tool_call", "k9")]) == [("s", "c", "k1", "r1", True), ("s", "d", "k2", "r2", True)]
     assert ("s", "d", "k2", "r2", False) in drain([("s", "d", "tool_call", "k3")])
+
+
+def test_idle_pairs_are_forgotten(spark, tmp_path):
+    import time
+
+    schema, source = "session string, call_id string, kind string, event string", str(tmp_path / "in")
+    put = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    put(("s", "c", "tool_call", "k1"))
+    stream = tool_pairs(spark.readStream.schema(schema).parquet(source), idle=500)
+    query = stream.writeStream.format("memory").queryName("idle_pairs").option("checkpointLocation", str(tmp_path / "marks")).start()
+
+    def rows(wanted):
+        end = time.time() + 60
+        while time.time() < end and query.isActive:
+            if wanted(query.lastProgress):
+                return True
+            time.sleep(0.2)
+
+    try:
+        assert rows(lambda p: p and p["stateOperators"][0]["numRowsTotal"] == 0 and p["batchId"] > 0)
+    finally:
+        query.stop()
