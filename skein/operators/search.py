@@ -77,15 +77,24 @@ def literal_by_trigrams(docs: DataFrame, index: DataFrame, query: str, body: str
     return docs.join(found.select(key), key, "left_semi").where(F.col(body).contains(query)), "trigram"
 
 
+def _once(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function`` of ``value``, which is evaluated once, however often it is used and wherever the plan moves it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def postings(docs: DataFrame, body: str = "body", key: str = "doc_id", terms: Callable[[Column], Column] = tokens) -> DataFrame:
     """(key, term, tf, dl): term frequencies and document lengths in tokens, counted within each row, without a shuffle."""
-    words = docs.select(key, F.array_sort(terms(F.col(body))).alias("words"))
-    # Equal terms lie side by side: a term's run is cut where the next one begins, in time linear in the text.
-    n = F.size("words")
-    first = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | (F.get("words", k) != F.get("words", k - 1)))
-    runs = F.when(n > 0, F.zip_with(first, F.concat(F.slice(first, 2, F.greatest(F.size(first) - 1, F.lit(0))), F.array(n)), lambda a, b: F.struct(F.get("words", a).alias("term"), (b - a).alias("tf"))))
-    rows = words.select(key, n.alias("dl"), F.explode(runs).alias("run"))
-    return rows.select(key, "run.term", "run.tf", "dl")
+
+    def runs(words: Column) -> Column:
+        # Equal terms lie side by side: a term's run is cut where the next one begins, in time linear in the text.
+        n = F.size(words)
+        first = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | (F.get(words, k) != F.get(words, k - 1)))
+        ends = lambda f: F.concat(F.slice(f, 2, F.size(f)), F.array(n))
+        cut = _once(first, lambda f: F.zip_with(f, ends(f), lambda a, b: F.struct(F.get(words, a).alias("term"), (b - a).alias("tf"), n.alias("dl"))))
+        return F.when(n > 0, cut)
+
+    rows = docs.select(key, F.explode(_once(F.array_sort(terms(F.col(body))), runs)).alias("run"))
+    return rows.select(key, "run.term", "run.tf", "run.dl")
 
 
 def bm25_of_postings(index: DataFrame, docs: DataFrame, query: list[str], k: int = DEFAULT_LIMIT, key: str = "doc_id", length: str = "dl") -> DataFrame:

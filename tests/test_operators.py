@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from skein.functions import identity, text
 from skein.operators import catalog, passages, search, sessions
-from skein.plans import registry
+from skein.plans import log_queries, registry
 
+assert log_queries.query is registry.query  # its queries are registered with the others
 SF = "/root/testdata/sf0.001"
 
 
@@ -139,3 +140,38 @@ def test_empty_segments_are_skipped_by_the_operator(spark, monkeypatch, name):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     assert seen[0].count() == turns.count()
     assert seen[0].where("text = ''").count() >= turns.where("turn % 3 = 1").count() > 0
+
+
+def test_event_rules(spark):
+    from skein.operators import records
+
+    schema = (
+        "session string, record long, observation string, event string, event_index int, kind string, role string, call_id string, name string, status string, "
+        "usage struct<input_tokens:long,output_tokens:long,total_tokens:long>, facts array<struct<kind:string,value:string>>, content array<struct<id:string>>"
+    )
+    good = ("s", 1, "o", "e", 0, "message", "user", None, None, None, None, None, [("a",), ("b",)])
+    rows = [good, (*good[:5], "usage", None, None, None, None, (1, -2, 3), None, None), (*good[:12], [("a",), ("a",)]), (*good[:5], "tool_call", None, "c", "", None, None, None, None)]
+    frame = spark.createDataFrame(rows, schema)
+    assert [r.violations for r in records.violations(frame, records.EVENT_RULES).collect()] == [[], ["usage"], ["blocks"], ["name"]]
+    assert records.violations(frame.limit(1), records.EVENT_RULES, strict=True).count() == 1
+    with pytest.raises(Exception, match="invalid record: usage"):
+        records.violations(frame, records.EVENT_RULES, strict=True).collect()
+
+
+def test_sources_of_a_home(spark):
+    from skein.operators import records
+
+    names = spark.createDataFrame([("tasks/1",), ("other",)], "relative string")
+    rows = records.sources(names, "claude", "/h").orderBy("rank").collect()
+    assert [(r.kind, r.status) for r in rows[:1]] == [("canonical", "missing")] and rows[0].diagnostics == ["claude_projects_missing: projects"]
+    assert {r.relative: r.status for r in rows[1:]} == {n: "disabled" if n == "tasks" else "missing" for n in records.AUXILIARY}
+    assert [r.status for r in records.sources(names, "codex", "/h").collect()] == ["missing"]
+    assert records.of_sources(names, [], "relative").count() == 2 and records.of_sources(names, ["other"], "relative").count() == 1
+
+
+def test_identity_of_a_record(spark):
+    from skein.operators import records
+
+    rows = spark.createDataFrame([("p", "", "p", "x"), ("p", "", "", ""), ("p", "", "q", ""), ("p", "a", "q", "a"), ("p", "a", "p", None), ("p", "a", "p", "b")], "p string, a string, s string, g string")
+    fits = records.matches_identity(*[F.col(c) for c in "pasg"])
+    assert [r[0] for r in rows.select(fits).collect()] == [True, True, False, True, True, False]
