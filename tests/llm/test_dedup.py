@@ -322,3 +322,64 @@ def test_shards(spark):
     assert set(size) == set(range(16)) and max(size.values()) - min(size.values()) <= 2 * most
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shard(docs(spark, [])).count() == 0
+
+
+def test_shards_of_a_frequent_text(spark, monkeypatch):
+    """A text of a third of all rows is numbered in pieces; groups that fit the tolerance stay whole."""
+    monkeypatch.setattr(sharding, "RANGES", (16, 64))
+    rows = [(k, "frequent text" if k % 3 == 0 else f"text {k // 6}" + "x" * (k // 6 % 40)) for k in range(3000)]
+    found = sharding.shard(docs(spark, rows), shards=4, tolerance=0.02).collect()
+    assert sorted((r.doc_id, r.text) for r in found) == sorted(rows)
+    shards, size, slots = {}, {}, {}
+    for r in found:
+        shards.setdefault(r.text, set()).add(r.shard)
+        size[r.shard] = size.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(size.values()) - min(size.values()) <= 2 * 0.02 * sum(size.values()) / 4 + 100
+    # At most one group for each boundary is cut, and only one that can't be kept whole.
+    assert sum(len(s) > 1 for s in shards.values()) <= 3
+    # Rows without an id, all of one text, still get slots of their own.
+    lost = sharding.shard(docs(spark, [(None, "same")] * 50 + [(k, f"t{k}") for k in range(50)]), shards=2).collect()
+    assert {s: sorted(r.slot for r in lost if r.shard == s) for s in (0, 1)} == {s: list(range(sum(r.shard == s for r in lost))) for s in (0, 1)}
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    from skein.llm.components import components
+
+    edges = [(k, k + 1) for k in range(0, 200, 1)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5000, 5000), (6001, 6000), (6000, 6001)]
+    work = Workspace(spark, "parts")
+    found = {r.u: r.root for r in components(work.put(spark.createDataFrame(edges, "u long, v long"), "links"), work).collect()}
+    want = {k: 0 for k in range(1, 201)} | {1000 + k: 1000 for k in range(1, 300)} | {6001: 6000}
+    assert {u: r for u, r in found.items() if u != r} == want
+
+
+def test_fingerprints_by_hand(spark):
+    import xxhash
+
+    for d, t in ROWS[:30] + ROWS[-12:]:
+        words = "".join(c.lower() if c.isascii() else c for c in t or "").encode().split()
+        runs = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(r, seed=42) for r in runs]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(t) == want
+
+
+def test_recall_of_near_duplicates(spark):
+    """Of pairs at and above the similarity, in a crowd of texts that share much, at least nine in ten are linked; below it none."""
+    draw = random.Random(21)
+    pool = [f"w{k}" for k in range(400)]
+    base = [[draw.choice(pool) for _ in range(120)] for _ in range(12)]
+    rows = []
+    for text in base:
+        for _ in range(12):
+            words = list(text)
+            for _ in range(draw.randint(0, 3)):
+                words[draw.randrange(len(words))] = draw.choice(pool)
+            rows.append((len(rows), " ".join(words)))
+    sets = {d: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for d, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    group = {r.doc_id: r.group for r in near_dedup.groups(docs(spark, rows)).collect()}
+    assert len(pairs) > 100 and sum(group[a] == group[b] for a, b in pairs) >= 0.9 * len(pairs)
+    want = brute_groups(rows)
+    assert all(want[a] == want[b] for a in group for b in group if group[a] == group[b])
