@@ -1,17 +1,18 @@
 """Licence notices in documents: a trained paragraph classifier, confirmed against templates.
 
 A window of words is a sparse vector of word bigrams and trigrams. One logistic regression per
-licence family is fitted by proximal gradient steps, which keep few weights. The sample is bounded,
-so all steps are one SQL expression over its rows. What no family claims with at least the calibrated
-probability is ``unknown``: the cut is the least at which at most one in a hundred held-out paragraphs
-without a licence is claimed. A claim is confirmed if a template of its family shares enough of its
-bigrams with the words around the window.
+licence family is fitted by proximal gradient steps, which keep few weights, to the templates and to
+all distinct paragraphs without a licence. Paragraphs of the same features are one row with a count,
+and a step is one aggregation over these rows. What no family claims with at least the calibrated
+probability is ``unknown``: the cut is the least at which at most one in a hundred of all held-out
+paragraphs without a licence is claimed. A claim is confirmed if a template of its family shares
+enough of its bigrams with the words around the window.
 
 A text is scored in windows of several sizes that begin at each weighted pair of words, so neither
 the words around a notice nor the line breaks within it count. Of overlapping windows the best one is
 claimed, for the paragraph (line) it begins in, and one for each paragraph. A document with too few
 weighted pairs for any claim is passed over; the rest are scored within their rows. No text is
-shuffled.
+shuffled; paragraphs are told apart by 128 bits of hash.
 
 Defined results
     null or empty text   no paragraphs
@@ -57,8 +58,6 @@ TEMPLATES = [
     ("unknown", "A driving license is needed for this version of the work."),
 ]
 UNKNOWN = "unknown"
-#: Documents (about; by hash) whose paragraphs without a licence serve as negatives, and the most of these.
-DOCUMENTS, NEGATIVES = 200, 2000
 STEPS, RATE, SHRINK, INTERCEPT = 12, 3.0, 0.002, -2.0
 #: Least share of a template's bigrams in a confirmed paragraph.
 SIMILAR = 0.6
@@ -91,18 +90,6 @@ def terms(words: Column) -> Column:
     return _bound(words, lambda w: F.concat(grams(w, 2), grams(w, 3)))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, paragraph, line, around): a row for each line with two words or more; ``around`` has its neighbours too."""
-    lines = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
-        F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("lines"),
-    )
-    lines = lines.select("doc_id", "row", "lines", F.posexplode("lines").alias("paragraph", "line"))
-    around = F.array_join(F.slice("lines", F.greatest("paragraph", F.lit(1)), F.when(F.col("paragraph") == 0, 2).otherwise(3)), " ")
-    return lines.select("doc_id", "row", F.col("paragraph").cast("long").alias("paragraph"), "line", around.alias("around")).where(F.size(tokens(F.col("line"))) > 1)
-
-
 def _forms() -> list[tuple[str, list[list[str]]]]:
     """The word pairs of each template of each known family."""
     out: dict[str, list[list[str]]] = {}
@@ -125,60 +112,133 @@ def _vocabulary(spark: SparkSession) -> list[str]:
     return sorted(r.term for r in known.select(F.explode(terms(tokens(F.col("line")))).alias("term")).distinct().collect())
 
 
+def _numbers(values: list[float]) -> Column:
+    """A constant array, in a plan of three nodes."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def _sum(ids: Column, weights: Column) -> Column:
+    """The sum of the weights at ``ids`` (from 0)."""
+    return F.aggregate(ids, F.lit(0.0), lambda total, i: total + F.get(weights, i))
+
+
 def _literal(words: list[str]) -> str:
     """An SQL array; the words are letters, digits and spaces only, so they can stand in quotes as they are."""
     return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-#: Proximal gradient steps of one family's regression over ``data``, as one expression. ``owners`` has
-#: the rows of each term; ``e`` is a step's error of each row, times its value and share.
-_FIT = """aggregate(sequence(1, {steps}), array_repeat(0D, {terms}), (w, s) -> element_at(transform(array(
-    transform(data, r -> r.share * r.x * (1D / (1D + exp(-({intercept}D + r.x * aggregate(r.ids, 0D, (a, i) -> a + get(w, i))))) - if(r.label = family, 1D, 0D)))
-  ), e -> transform(transform(sequence(0, {terms} - 1), t -> get(w, t) - {rate}D * aggregate(get(owners, t), 0D, (a, k) -> a + get(e, k))),
-    z -> signum(z) * greatest(abs(z) - {shrink}D, 0D))), 1))"""
+def _paragraphs(docs: DataFrame) -> DataFrame:
+    """(line, around): a row for each line; ``around`` has its neighbours too, if the line has a word of licensing."""
+
+    def each(lines: Column) -> Column:
+        def one(line: Column, k: Column) -> Column:
+            around = F.array_join(F.slice(lines, F.greatest(k, F.lit(1)), F.when(k == 0, 2).otherwise(3)), " ")
+            return F.struct(line.alias("line"), F.when(line.rlike(_HINT), around).alias("around"))
+
+        return F.transform(lines, one)
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.explode(_bound(F.split(text, "\n"), each)).alias("e")).select("e.line", "e.around")
+
+
+def _features(words: Column, vocabulary: list[str]) -> Column:
+    """(words, n, ids): the number of words, and if one of the terms is in ``vocabulary``, that of distinct terms, and the places of the known ones."""
+    pairs, place = [t for t in vocabulary if t.count(" ") == 1], F.expr(_literal(vocabulary))
+
+    def following(w: Column, n: int) -> Column:
+        made = F.transform(w, lambda a, k: F.concat(a, *[x for i in range(1, n) for x in (F.lit(" "), F.get(w, k + i))]))
+        return F.size(F.array_distinct(F.array_compact(made)))
+
+    def of(w: Column) -> Column:
+        at = F.transform(w, lambda a, k: F.when(F.concat(a, F.lit(" "), F.get(w, k + 1)).isin(pairs), k))
+
+        def found(hits: Column) -> Column:
+            # At the end of the words a pair stands for a triple, too; it counts once. A known triple begins with a known pair.
+            places = F.transform(hits, lambda k: F.array(*[F.array_position(place, F.array_join(F.slice(w, k + 1, n), " ")).cast("int") - 1 for n in (2, 3)]))
+            ids = F.array_sort(F.array_distinct(F.filter(F.flatten(places), lambda i: i >= 0)))
+            n = F.when(F.size(hits) > 0, following(w, 2) + following(w, 3)).otherwise(0)
+            return F.struct(F.size(w).alias("words"), n.alias("n"), ids.alias("ids"))
+
+        return _bound(F.array_compact(at), found)
+
+    return _bound(words, of)
+
+
+def _fit(rows: DataFrame, vocabulary: list[str]) -> dict[str, list[float]]:
+    """The weights of each family after all steps; ``rows`` has label, x, share (of its label, times its count) and ids.
+
+    A step's sums are of whole numbers, so that they do not depend on the order of the rows; the driver
+    has one number of each family and term.
+    """
+    families, unit = sorted({f for f, _ in TEMPLATES} - {UNKNOWN}), 1 << 50
+    weights = {f: [0.0] * len(vocabulary) for f in families}
+    for _ in range(STEPS):
+        errors = []
+        for k, family in enumerate(families):
+            margin = INTERCEPT + F.col("x") * _sum(F.col("ids"), _numbers(weights[family]))
+            error = F.col("share") * F.col("x") * (1 / (1 + F.exp(-margin)) - F.when(F.col("label") == family, 1.0).otherwise(0.0))
+            errors.append(F.round(error * float(unit)).cast("long").alias(f"e{k}"))
+        each = rows.select("ids", *errors).select(F.explode("ids").alias("at"), *[f"e{k}" for k in range(len(families))])
+        for r in each.groupBy("at").agg(*[F.sum(f"e{k}").alias(f"e{k}") for k in range(len(families))]).collect():
+            for k, family in enumerate(families):
+                weights[family][r.at] -= RATE * r[f"e{k}"] / unit
+        for family, w in weights.items():
+            weights[family] = [math.copysign(max(abs(z) - SHRINK, 0.0), z) for z in w]
+    return weights
+
+
+def _at_rank(values: DataFrame, rank: int) -> float | None:
+    """The ``m`` of ``values`` that ``rank`` rows stand above, if there are as many; by histograms, each within a bin of the one before."""
+    total, low, high = values.agg(F.count("m"), F.min("m"), F.max("m")).first()
+    if total <= rank:
+        return None
+    while low < high:
+        place = F.least(F.floor((F.col("m") - low) / ((high - low) / 1024)), F.lit(1023))
+        bins = values.where(F.col("m").between(low, high)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("m").alias("low"), F.max("m").alias("high"))
+        for r in sorted(bins.collect(), key=lambda r: -r.bin):
+            if rank < r.n:
+                low, high = r.low, r.high
+                break
+            rank -= r.n
+    return low
 
 
 def train(docs: DataFrame, work: Workspace) -> tuple[DataFrame, float]:
     """The weights (term, family, w) and the calibrated least probability."""
-    spark = docs.sparkSession
-    known = spark.createDataFrame(TEMPLATES, "label string, line string")
-    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    lines = paragraphs(docs.where(chance < DOCUMENTS / max(docs.count(), 1)))
+    spark, vocabulary = docs.sparkSession, _vocabulary(docs.sparkSession)
     # A line with a word of licensing has no licence if it is like no template, whatever stands before and after.
-    hint = F.col("line").rlike(_HINT)
     like = _bound(grams(tokens(F.col("around")), 2), lambda p: F.greatest(*[_likeness(p, f) for _, f in _forms()]))
-    lines = lines.where(F.when(hint, like < SIMILAR).otherwise(True))
-    plain = lines.select(F.lit(UNKNOWN).alias("label"), "line").distinct().orderBy(F.xxhash64("line"), "line").limit(NEGATIVES)
-    # Odd rows of the corpus are held out for the calibration; every template is learned from.
+    # Odd lines (by hash) are held out for the calibration; every template is learned from.
     # Lines with a word of licensing are not learned from, as a notice of another wording may be among them.
-    fixed = [x for _, x in TEMPLATES]
-    held = (F.col("label") == UNKNOWN) & ~F.col("line").isin(fixed) & ((F.pmod("row", F.lit(2)) == 1) | F.col("line").rlike(_HINT))
-    sample = known.union(plain).withColumn("row", F.xxhash64("label", "line")).withColumn("held", held)
-    vocabulary = _vocabulary(spark)
-    terms_ = terms(tokens(F.col("line")))
-    shared = F.array_intersect(terms_, F.expr(_literal(vocabulary)))
-    rows = sample.select("row", "label", "held", F.when(F.col("held"), F.col("line")).alias("line"), (1 / F.sqrt(F.greatest(F.size(terms_), F.lit(1)))).alias("x"), shared.alias("shared"))
-    rows = work.put(rows.coalesce(1), "rows")
-    # A row without a term of the templates has no gradient, but it counts in its label's share.
-    sizes = rows.where("not held").groupBy("label").agg((1 / F.count("*")).alias("share"))
-    place = F.transform("shared", lambda t: (F.array_position(F.expr(_literal(vocabulary)), t) - 1).cast("int"))
-    learn = rows.where("not held and size(shared) > 0").join(F.broadcast(sizes), "label").select(F.struct("label", "share", "x", place.alias("ids")).alias("r"))
-    families = sorted({f for f, _ in TEMPLATES} - {UNKNOWN})
-    owners = f"transform(sequence(0, {len(vocabulary)} - 1), t -> filter(sequence(0, size(data) - 1), k -> array_contains(get(data, k).ids, t)))"
-    fit = _FIT.format(steps=STEPS, terms=len(vocabulary), intercept=INTERCEPT, rate=RATE, shrink=SHRINK)
-    whole = learn.agg(F.collect_list("r").alias("data")).withColumn("owners", F.expr(owners))
-    fitted = whole.select("data", "owners", F.explode(F.expr(_literal(families))).alias("family")).select("family", F.posexplode(F.expr(fit)).alias("at", "w"))
-    weights = fitted.where("w <> 0").select(F.get(F.expr(_literal(vocabulary)), F.col("at")).alias("term"), "family", "w")
-    weights = work.put(weights.coalesce(1), "weights")
-    negatives = rows.where("held").count()
-    spare = negatives // 100
-    # Of n held-out negatives at most n / 100 may have a window above the cut.
+    one, hint = F.xxhash64("line"), F.col("around").isNotNull()
+    lines = _paragraphs(docs).select(
+        one.alias("one"),
+        F.xxhash64(F.lit(UNKNOWN), "line").alias("two"),
+        (hint | (F.pmod(one, F.lit(2)) == 1)).alias("held"),
+        F.when(F.col("line").isin([x for _, x in TEMPLATES]), False).when(hint, like < SIMILAR).otherwise(True).alias("plain"),
+        _features(tokens(F.col("line")), vocabulary).alias("f"),
+        "line",
+    )
+    known = F.size("f.ids") > 0
+    lines = work.put(lines.select("one", "two", "held", "plain", "f", F.when(F.col("held") & F.col("plain") & known, F.col("line")).alias("line")), "lines")
+    lines = lines.where("plain and f.words > 1").select("one", "two", "held", "line", "f.*")
+    # A line without a term of the templates has no gradient, but it counts in its label's share.
+    kinds = lines.select("one", "two", "held", *[F.when(F.col("held"), None).otherwise(F.col(c)).alias(c) for c in ("n", "ids")]).distinct()
+    kinds = kinds.groupBy("held", "n", "ids").agg(F.count("*").alias("count")).select(F.lit(UNKNOWN).alias("label"), "held", "n", "ids", "count")
+    fixed = spark.createDataFrame(TEMPLATES, "label string, line string").select("label", _features(tokens(F.col("line")), vocabulary).alias("f"))
+    rows = work.put(kinds.union(fixed.select("label", F.lit(False), "f.n", "f.ids", F.lit(1))), "rows")
+    sizes = {(r.label, r.held): r.n for r in rows.groupBy("label", "held").agg(F.sum("count").alias("n")).collect()}
+    share = F.coalesce(*[F.when(F.col("label") == label, F.col("count") / n) for (label, held), n in sorted(sizes.items()) if not held])
+    x = 1 / F.sqrt(F.greatest(F.col("n"), F.lit(1)))
+    fitted = _fit(rows.where("not held and size(ids) > 0").select("label", x.alias("x"), share.alias("share"), "ids"), vocabulary)
+    weights = spark.createDataFrame([(t, f, z) for f, of in fitted.items() for t, z in zip(vocabulary, of) if z], "term string, family string, w double")
+    # Of n held-out negatives at most n / 100 may have a window above the cut. No window of a line has more than all its weights above 0.
+    most = F.greatest(*[_sum(F.col("ids"), _numbers([max(z, 0.0) for z in of])) for of in fitted.values()])
     margin = F.array_max(F.transform(_windows(tokens(F.col("line")), _by_family(weights), 0.0), lambda c: c["margin"]))
-    top = rows.where("held").select(margin.alias("m")).where("m is not null").orderBy(F.desc("m")).limit(spare + 1).collect()
-    cut = 0.5
-    if negatives and len(top) > spare:
-        cut = max(cut, 1 / (1 + math.exp(-top[-1].m)) + 1e-9)
-    return weights, cut
+    margins = lines.where("line is not null").where(INTERCEPT + most >= 0).select("one", "two", margin.alias("m"))
+    margins = work.put(margins.groupBy("one", "two").agg(F.max("m").alias("m")), "margins")
+    top = _at_rank(margins.where("m is not null"), sizes.get((UNKNOWN, True), 0) // 100)
+    return weights, 0.5 if top is None else max(0.5, 1 / (1 + math.exp(-top)) + 1e-9)
 
 
 def _by_family(weights: DataFrame) -> dict[str, dict[str, float]]:
